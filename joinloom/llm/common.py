@@ -4,10 +4,12 @@ folder, tables written to it, and raw text access in Arrow batches."""
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +27,17 @@ def positional(df: DataFrame) -> DataFrame:
     return df.toDF(*[f"_{i}" for i in range(len(df.columns))])
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver found it, too."""
+    env, here = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    if here not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), here]))
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Just these columns. Of columns with equal names the first counts; case decides
     before case-insensitive equality does."""
+    importable(df.sparkSession)
     flat, have = positional(df), list(df.columns)
     low = [c.lower() for c in have]
     at = {n: have.index(n) if n in have else low.index(n.lower()) for n in names}
