@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joinloom.llm import decontaminate, mixing, simhash
+from joinloom.llm import decontaminate, langid, mixing, simhash
 from joinloom.llm.common import table
 
 QUERIES = {}
@@ -38,3 +38,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda n, run: n + run["to"] - run["from"])
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+@query("op8_language_id")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(spark, docs, langid.learn(langid.learned_rows(docs)))
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "accepted")
