@@ -52,9 +52,9 @@ def _print_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(prints.view(np.int64))], names=[*batch.schema.names[1:], "fp"])
 
 
-def close_pairs(prints: np.ndarray, group: np.ndarray, radius: int = RADIUS, slab: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+def close_pairs(prints: np.ndarray, group: np.ndarray, radius: int = RADIUS, slab: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (i, j), i < j, of fingerprints of one group that differ in at most radius bits.
-    group: sorted keys.
+    group: sorted keys. They come in pieces of at most 64 * slab pairs, or 64 of a row's words.
 
     Each group fills words of 64 lanes, and 64 planes hold one bit of every lane each. A row meets a
     word of its group at a time: plane by plane its bit is compared with 64 lanes at once, and the
@@ -75,7 +75,6 @@ def close_pairs(prints: np.ndarray, group: np.ndarray, radius: int = RADIUS, sla
     ahead = np.repeat(base + words, sizes) - word  # words from the row's own to its group's last
     bits = max(1, int(radius).bit_length())
     start = 2**bits - 1 - radius
-    lefts, rights = [], []
     ends = np.cumsum(ahead)
     at = 0
     while at < n:
@@ -102,26 +101,21 @@ def close_pairs(prints: np.ndarray, group: np.ndarray, radius: int = RADIUS, sla
         for b in range(64):
             hit = (left >> np.uint64(b)) & ONE != 0
             if hit.any():
-                lefts.append(row[hit])
-                rights.append(opens[met[hit]] + b)
+                yield row[hit], opens[met[hit]] + b
         at = upto
-    if not lefts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(lefts), np.concatenate(rights)
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least position reachable from each of n positions."""
+def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The least position reachable from each of n positions. Pieces of pairs are folded in one by one."""
     label = np.arange(n)
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        np.minimum.at(label, before, label)
-        label = label[label]
-        if (label == before).all():
-            break
+    for a, b in pairs:
+        x, y = label[a], label[b]
+        while (apart := x != y).any():
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+            while (label[label] != label).any():
+                label = label[label]
+            x, y = label[a], label[b]
     return label
 
 
@@ -130,8 +124,7 @@ def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for part in whole_groups(batches, 2):
         bucket, tile, prints = (part.column(k).to_numpy() for k in range(3))
         new = np.r_[True, (bucket[1:] != bucket[:-1]) | (tile[1:] != tile[:-1])]
-        a, b = close_pairs(prints.view(np.uint64), np.cumsum(new))
-        root = forest(len(prints), a, b)
+        root = forest(len(prints), close_pairs(prints.view(np.uint64), np.cumsum(new)))
         linked = np.flatnonzero(root != np.arange(len(prints)))
         yield pa.RecordBatch.from_arrays([pa.array(prints[linked]), pa.array(prints[root[linked]])], names=["a", "b"])
 
