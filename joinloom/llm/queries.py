@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joinloom.llm import decontaminate, langid, mixing, simhash
+from joinloom.llm import decontaminate, langid, mixing, secrets, simhash
 from joinloom.llm.common import table
 
 QUERIES = {}
@@ -46,3 +46,20 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.predict(spark, docs, langid.learn(langid.learned_rows(docs)))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@query("op6_secret_scan")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(spark, table(spark, sf_dir, "documents"))
+    live = F.transform("live", lambda s: F.struct(s["start"].alias("start"), F.lit(secrets.KINDS.index("live")).alias("kind"), s["end"].alias("end")))
+    base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    names = F.array(*map(F.lit, secrets.KINDS))
+
+    def told(spans: Column) -> Column:
+        return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == secrets.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+
+    digest = F.sha2(told(base).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), digest, told(F.concat(base, live)).alias("spans"), F.size("live").cast("long").alias("n_live"))
