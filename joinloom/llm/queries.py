@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joinloom.llm import decontaminate, langid, mixing, secrets, simhash
+from joinloom.llm import decontaminate, langid, mixing, secrets, simhash, warc
 from joinloom.llm.common import table
 
 QUERIES = {}
@@ -63,3 +63,18 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     digest = F.sha2(told(base).cast("binary"), 256).alias("base_sha256")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), digest, told(F.concat(base, live)).alias("spans"), F.size("live").cast("long").alias("n_live"))
+
+
+OP5_SQL = """
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
+FROM (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest,
+             CASE WHEN strlen(h) >= 1000 AND page_id <> max(page_id) OVER (PARTITION BY h) THEN max(page_id) OVER (PARTITION BY h) END AS refers_to
+      FROM (SELECT page_id, coalesce(html, '') AS h FROM pages))
+"""
+
+
+@query("op5_warc_normalise", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, files = warc.archive(spark, table(spark, sf_dir, "pages"))
+    return warc.read_back(spark, folder, files)
