@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joinloom.llm import decontaminate, langid, mixing, secrets, simhash, warc
+from joinloom.llm import decontaminate, langid, mixing, secrets, simhash, urls, warc
 from joinloom.llm.common import table
 
 QUERIES = {}
@@ -78,3 +78,8 @@ FROM (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest,
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, files = warc.archive(spark, table(spark, sf_dir, "pages"))
     return warc.read_back(spark, folder, files)
+
+
+@query("op7_url_filter")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(spark, table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", F.array_join("words", " ").alias("words"))
