@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joinloom.llm import decontaminate, langid, mixing, secrets, simhash, urls, warc
+from joinloom.llm import decontaminate, knn, langid, mixing, secrets, simhash, urls, warc
 from joinloom.llm.common import table
 
 QUERIES = {}
@@ -83,3 +83,20 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_url_filter")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(spark, table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", F.array_join("words", " ").alias("words"))
+
+
+OP2_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+      FROM (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id))
+WHERE rank <= 5
+"""
+
+
+@query("op2_top_products", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_products(spark, knn.quantised(table(spark, sf_dir, "embeddings")), lambda i: i % 50 == 0)
