@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joinloom.llm import decontaminate, knn, langid, mixing, secrets, simhash, urls, warc
+from joinloom.llm import decontaminate, knn, langid, mixing, secrets, simhash, tokens, urls, warc
 from joinloom.llm.common import table
 
 QUERIES = {}
@@ -100,3 +100,8 @@ WHERE rank <= 5
 @query("op2_top_products", OP2_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_products(spark, knn.quantised(table(spark, sf_dir, "embeddings")), lambda i: i % 50 == 0)
+
+
+@query("op3_token_counts")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.counted(spark, table(spark, sf_dir, "documents"), tokens.vocabulary())
