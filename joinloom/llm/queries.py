@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joinloom.llm import decontaminate, knn, langid, mixing, secrets, simhash, tokens, urls, warc
-from joinloom.llm.common import table
+from joinloom.llm import chat, decontaminate, knn, langid, mixing, secrets, simhash, tokens, urls, warc
+from joinloom.llm.common import pick, table
 
 QUERIES = {}
 ORACLES = {}
@@ -105,3 +105,47 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_token_counts")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.counted(spark, table(spark, sf_dir, "documents"), tokens.vocabulary())
+
+
+#: How conversations are read as calls: a user's turn asks the tool, the turn after it is the result.
+REPLY = {"type": "object", "required": ["prompt", "turn"], "properties": {"prompt": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}}, "additionalProperties": False}
+
+OP4_SQL = """
+WITH m AS (SELECT *, conv_id || '/' || turn AS own, conv_id || '/' || (turn - 1) AS earlier FROM conversations)
+SELECT a.conv_id, a.turn, a.role,
+       CASE a.role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+       CASE a.role WHEN 'user' THEN CASE WHEN r.own IS NULL THEN 'open' ELSE 'linked' END
+                   WHEN 'assistant' THEN CASE WHEN c.own IS NULL THEN 'orphan' ELSE 'linked' END ELSE 'plain' END AS status,
+       CASE WHEN a.role <> 'user' THEN '' WHEN a.text IS NULL THEN '$.prompt: missing' WHEN a.text = '' THEN '$.prompt: minLength' ELSE '' END AS faults,
+       a.turn AS ready, CAST(0 AS BIGINT) AS depth,
+       CASE a.role
+         WHEN 'user' THEN '{"arguments":{' || CASE WHEN a.text IS NULL THEN '' ELSE '"prompt":' || CAST(to_json(a.text) AS VARCHAR) || ',' END
+              || '"turn":' || a.turn || '},"id":"' || a.own || '","name":"reply","role":"user","type":"tool_call"}'
+         WHEN 'assistant' THEN '{"call_id":"' || a.earlier || '","content":' || coalesce(CAST(to_json(a.text) AS VARCHAR), 'null') || ',"role":"assistant","type":"tool_result"}'
+         ELSE '{"content":' || coalesce(CAST(to_json(a.text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(a.role) AS VARCHAR), 'null') || ',"type":"message"}' END AS json
+FROM m a
+LEFT JOIN m r ON a.role = 'user' AND r.role = 'assistant' AND r.earlier = a.own
+LEFT JOIN m c ON a.role = 'assistant' AND c.role = 'user' AND c.own = a.earlier
+"""
+
+
+@query("op4_tool_links", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def name(turn: Column) -> Column:
+        return F.concat_ws("/", F.col("conv_id").cast("string"), turn.cast("string"))
+
+    rows = pick(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    user, assistant, turn = F.col("role") == "user", F.col("role") == "assistant", F.col("turn")
+    messages = rows.select(
+        "conv_id",
+        "turn",
+        "role",
+        "text",
+        F.when(user, name(turn)).alias("call_id"),
+        F.when(user, F.lit("reply")).alias("tool"),
+        F.when(user, F.to_json(F.struct(F.col("text").alias("prompt"), "turn"))).alias("arguments"),
+        F.when(assistant, name(turn - 1)).alias("result_of"),
+        F.when(user & (turn >= 2), F.array(name(turn - 2))).alias("after"),
+    )
+    found = chat.linked(spark, messages, {"reply": REPLY})
+    return found.select("conv_id", "turn", "role", "kind", "status", F.array_join("faults", "; ").alias("faults"), "ready", "depth", "json")
