@@ -1,19 +1,48 @@
-"""documents through language ID, near-dedup, decontamination, secret scans and mixing."""
+"""documents through language ID, near-dedup, decontamination, secret scans and mixing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the
+next one's docs. All but the last return documents with the columns that they came with."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from joinloom.llm import simhash
+from joinloom.llm import decontaminate, langid, mixing, secrets, simhash
 from joinloom.llm.common import table, written
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the language models accept. The models learn from those of the documents that
+    may be learned from, as in the operator's query."""
+    return langid.accepted(spark, docs, langid.learn(langid.learned_rows(docs)))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest doc_id."""
     return simhash.one_of_each(spark, docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of the benchmark occurs."""
+    return decontaminate.clean(spark, docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with live-looking secrets masked."""
+    return secrets.masked(spark, docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken: how much of each document the mix takes."""
+    return mixing.mixed(spark, docs)
+
+
 STAGES = [
+    ("language_id", language_id),
     ("simhash_near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("mixing", mix),
 ]
 
 #: Language models, SimHash and an automaton are beyond SQL.
