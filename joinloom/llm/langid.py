@@ -22,11 +22,11 @@ SAMPLE_TOTAL = 64_000_000
 LANGUAGES = 512
 #: One in so many of the drawn rows calibrates score and rejection and trains nothing.
 CALIBRATE = 5
-#: A text is rejected if its cross-entropy is this many times as far above its language's mean, in
-#: units of one over the root of its length, as that of the furthest calibration text. Lengths count
-#: up to STEADY characters, as a text's own manner does not average out.
-SLACK = 2.0
-STEADY = 400
+#: A text is rejected if its cross-entropy is above its language's mean by more than this share of
+#: what texts of other languages are above it, and, in units of one over the root of its length, by
+#: more than SLACK times what the quantile REACH of the calibration texts is.
+FOREIGN = 0.75
+REACH, SLACK = 0.98, 2.0
 SLAB = 1 << 19
 MIX = np.uint64(0x9E3779B97F4A7C15)
 UNKNOWN = "und"
@@ -79,6 +79,7 @@ class Model:
     back: list[np.ndarray]
     floor: np.ndarray
     means: np.ndarray
+    gaps: np.ndarray
     reach: float = np.inf
     sharp: float = 1.0
 
@@ -137,7 +138,7 @@ def train(texts: dict[str, list[str]], order: int = ORDER) -> Model:
         logp.append(np.log(p).astype(np.float32))
         low_p = p
     back.append(np.zeros((0, len(languages)), np.float32))
-    return Model(languages, hashes, logp, back, floor.astype(np.float32), np.zeros(len(languages)))
+    return Model(languages, hashes, logp, back, floor.astype(np.float32), np.zeros(len(languages)), np.full(len(languages), np.inf))
 
 
 def _logs(model: Model, grams: list[np.ndarray], ends: np.ndarray) -> np.ndarray:
@@ -215,9 +216,9 @@ def decide(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarra
     nats, n = entropies(model, texts)
     best = nats.argmin(axis=1)
     sure = _posterior(nats, n, model.sharp).max(axis=1)
-    off = (nats[np.arange(len(nats)), best] - model.means[best]) * np.sqrt(np.minimum(n, STEADY))
+    off = nats[np.arange(len(nats)), best] - model.means[best]
     none = n == 0
-    return np.where(none, -1, best), np.where(none, 0.0, sure), ~none & (off <= model.reach)
+    return np.where(none, -1, best), np.where(none, 0.0, sure), ~none & ((off * np.sqrt(n) <= model.reach) | (off <= FOREIGN * model.gaps[best]))
 
 
 def _posterior(nats: np.ndarray, n: np.ndarray, sharp: float) -> np.ndarray:
@@ -229,7 +230,8 @@ def _posterior(nats: np.ndarray, n: np.ndarray, sharp: float) -> np.ndarray:
 
 def calibrate(model: Model, texts: list[str], langs: list[str]) -> Model:
     """Sets the sharpness that gives the rows' languages the highest likelihood, each language's mean
-    cross-entropy and the reach beyond which texts are rejected."""
+    cross-entropy, how far above it texts of other languages are (of one language alone: text of
+    unseen characters), and the reach of its own texts."""
     nats, n = entropies(model, texts)
     fit = np.flatnonzero(n > 0)
     nats, n = nats[fit], n[fit]
@@ -242,7 +244,9 @@ def calibrate(model: Model, texts: list[str], langs: list[str]) -> Model:
         overall = own.mean()
         for k in range(len(model.languages)):
             model.means[k] = own[truth == k].mean() if (truth == k).any() else overall
-        model.reach = SLACK * float(np.max(np.abs(own - model.means[truth]) * np.sqrt(np.minimum(n, STEADY))))
+            others = nats[truth != k, k]
+            model.gaps[k] = max(0.0, (others.mean() if len(others) else -float(model.floor[k])) - model.means[k])
+        model.reach = SLACK * float(np.quantile(np.abs(own - model.means[truth]) * np.sqrt(n), REACH))
     return model
 
 
@@ -256,7 +260,7 @@ def learn(documents: DataFrame, rows: int = SAMPLE_ROWS, longest: int = SAMPLE_B
     if len(counts) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
     if not counts:
-        return Model([], [], [], [], np.zeros(0, np.float32), np.zeros(0))
+        return Model([], [], [], [], np.zeros(0, np.float32), np.zeros(0), np.zeros(0))
     whole = 1 << 30
     dealt = F.pmod(F.xxhash64(F.lit(5), "doc_id", F.xxhash64("text")), F.lit(whole))
     each = SAMPLE_TOTAL // len(counts)
@@ -272,7 +276,7 @@ def learn(documents: DataFrame, rows: int = SAMPLE_ROWS, longest: int = SAMPLE_B
             texts[r["lang"]].append(r["text"])
     texts = {lang: own for lang, own in texts.items() if any(c.isalpha() for t in own for c in t)}
     if not texts:
-        return Model([], [], [], [], np.zeros(0, np.float32), np.zeros(0))
+        return Model([], [], [], [], np.zeros(0, np.float32), np.zeros(0), np.zeros(0))
     held = [(t, lang) for t, lang in held if lang in texts]
     return calibrate(train(texts, order), [t for t, _ in held], [lang for _, lang in held])
 
