@@ -16,32 +16,46 @@ EPOCHS = 2
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def ranked(spark: SparkSession, rows: DataFrame, order: list, value: str, what: str) -> DataFrame:
-    """rows and, as `before`, the sum of value over the rows before each in the order given, over the
-    whole table. Nothing is gathered in one task: rows are dealt by ranges of the order, written, and
-    summed within their partition; the sums of earlier partitions, one number for each, are added."""
-    dealt = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    dealt, _ = written(spark, dealt, what)
-    sums = dealt.groupBy("_part").agg(F.sum(value).alias("_all"))
-    earlier = sums.withColumn("_earlier", F.coalesce(F.sum("_all").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = dealt.withColumn("_own", F.coalesce(F.sum(value).over(within), F.lit(0))).join(earlier.drop("_all"), "_part")
-    return joined.withColumn("before", (F.col("_own") + F.col("_earlier")).cast("long")).drop("_own", "_earlier", "_part")
+#: Rows that a running sum goes over in one task, about; rows are dealt into ranges of so many.
+RANGE_ROWS = 200_000
+
+
+def ranked(spark: SparkSession, sources: DataFrame) -> DataFrame:
+    """sources and, as `at`, each one's place in code-point order, null last, from 0. Nothing is
+    gathered in one task: rows are dealt by ranges of the order, written, and numbered within their
+    partition; the sizes of earlier partitions, one number for each, are added."""
+    order = F.col("source").asc_nulls_last()
+    dealt, _ = written(spark, sources.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "sources")
+    sizes = dealt.groupBy("part").agg(F.count("*").alias("n"))
+    earlier = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    numbered = dealt.withColumn("own", F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1)
+    return numbered.join(earlier, "part").withColumn("at", F.col("own") + F.col("earlier")).drop("part", "own", "earlier")
+
+
+def running(rows: DataFrame, group: list[str], part: str, order: list, value: str) -> DataFrame:
+    """rows and, as `before`, the sum of value over the rows of the group that come earlier: those of
+    lower parts, and those of the same part earlier in the order. A part is a range of the order, so
+    a task sums one range and a group of any size is spread over many."""
+    sums = rows.groupBy(*group, part).agg(F.sum(value).alias("_sum"))
+    earlier = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_earlier", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum")
+    within = Window.partitionBy(*group, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = rows.withColumn("_own", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    return summed.join(sums, [*group, part]).withColumn("before", (F.col("_own") + F.col("_earlier")).cast("long")).drop("_own", "_earlier", part)
 
 
 def targets(spark: SparkSession, sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = SHARE, epochs: int = EPOCHS) -> DataFrame:
-    """sources(source, source_size long) to (source, source_size, target double, start long).
+    """sources(source, source_size long) to (source, source_size, target double, at long).
 
     Sources in code-point order, null last, weigh weights, repeating. They share `share` of all sizes
     by weight; a target stops at epochs times its source's size, and what it can't use is shared
     again. That ends where target = min(cap, level * weight): each round sums the caps below the level
     and spreads the rest over the weights above it, in whole numbers, until the level stands. Only
-    these sums reach the driver. start: the words of the sources before it in order."""
-    order = [F.col("source").asc_nulls_last()]
-    rows = ranked(spark, ranked(spark, sources.withColumn("one", F.lit(1).cast("long")), order, "one", "sources").withColumnRenamed("before", "at"), order, "source_size", "sources").withColumnRenamed("before", "start")
+    these sums reach the driver. at: the source's place in the order."""
     cycle = F.array(*[F.lit(w).cast("long") for w in weights])
+    rows = ranked(spark, sources)
     rows = rows.withColumn("weight", F.element_at(cycle, (F.col("at") % len(weights) + 1).cast("int"))).withColumn("cap", F.col("source_size") * epochs)
-    rows, _ = written(spark, rows.drop("at", "one"), "sources")
+    rows, _ = written(spark, rows, "weights")
     budget = share * int(rows.agg(F.sum("source_size").alias("n")).first()["n"] or 0)
     level = Fraction(0)
     while budget:
@@ -53,7 +67,7 @@ def targets(spark: SparkSession, sources: DataFrame, weights: tuple[int, ...] =
         if new <= level:
             break
         level = new
-    return rows.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("weight") * F.lit(float(level))).alias("target"), "start")
+    return rows.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("weight") * F.lit(float(level))).alias("target"), "at")
 
 
 def mix(spark: SparkSession, documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = SHARE, epochs: int = EPOCHS, seed: int = 17) -> tuple[DataFrame, DataFrame]:
@@ -74,25 +88,29 @@ def mix(spark: SparkSession, documents: DataFrame, weights: tuple[int, ...] = WE
     effect, which is taken. Reruns agree, since order depends on the rows' values alone. No rows: no
     rows. Other columns are ignored, whatever their names."""
     docs = pick(documents, "doc_id", "text", "source")
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")).alias("dealt"))
+    dealt = F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")).bitwiseAND(2**63 - 1)
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    sized = docs.select("doc_id", "source", size.alias("size"), dealt.alias("dealt"), F.monotonically_increasing_id().alias("row"))
     sized, _ = written(spark, sized, "sizes")
     aims = targets(spark, sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, epochs)
-    aims, _ = written(spark, aims, "targets")
-    order = [F.col("source").asc_nulls_last(), "dealt", F.col("doc_id").asc_nulls_first(), "size"]
-    placed = ranked(spark, sized, order, "size", "placed")
-    own = aims.select(F.col("source").alias("_s"), "source_size", "target", "start")
-    rows = placed.join(own, placed["source"].eqNullSafe(own["_s"])).select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", "size", "source_size", "target", "dealt", (F.col("before") - F.col("start")).alias("served"))
-    rows, _ = written(spark, rows, "queued")
-
-    budget = int(share * int(aims.agg(F.sum("source_size").alias("n")).first()["n"] or 0))
-    copies = rows.where("size > 0 and target > 0").select("row", "size", "target", "source", "dealt", "doc_id", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"), "source_size", "served")
-    begun = F.col("served") + F.col("epoch") * F.col("source_size")
-    copies = copies.withColumn("begun", begun).where("begun < target").withColumn("finish", (F.col("begun") + F.col("size")) / F.col("target"))
-    whole = F.least("size", (F.round("target") - F.col("begun")).cast("long"))
-    copies = copies.withColumn("words", whole).where("words > 0").select("row", "epoch", F.least("finish", F.lit(1.0)).alias("finish"), "words", "source", "dealt", "doc_id")
-    queue = ranked(spark, copies, ["finish", *order[:-1], "words", "epoch"], "words", "queue").drop("source", "dealt", "doc_id").withColumnRenamed("before", "position")
+    total = aims.agg(F.sum("source_size").alias("n")).first()["n"] or 0
+    budget = int(share * int(total))
+
+    bits = max(6, (sized.count() // RANGE_ROWS).bit_length())
+    own = aims.withColumnRenamed("source", "_s")
+    rows = sized.join(own, sized["source"].eqNullSafe(own["_s"])).drop("_s")
+    placed = running(rows.withColumn("part", F.shiftright("dealt", 63 - bits)), ["at"], "part", ["dealt", F.col("doc_id").asc_nulls_first(), "size"], "size")
+
+    copies = placed.where("size > 0 and target > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    copies = copies.withColumn("begun", F.col("before") + F.col("epoch") * F.col("source_size")).where("begun < target").drop("before")
+    copies = copies.withColumn("finish", F.least((F.col("begun") + F.col("size")) / F.col("target"), F.lit(1.0)))
+    copies = copies.withColumn("words", F.least("size", (F.round("target") - F.col("begun")).cast("long"))).where("words > 0")
+    # Virtual time runs alike for all sources, so ranges of equal width hold about as many copies.
+    copies = copies.select("row", "epoch", "finish", "words", "at", "dealt", "doc_id", (F.col("finish") * 2**bits).cast("int").alias("range"))
+    order = ["finish", "at", "dealt", F.col("doc_id").asc_nulls_first(), "words", "epoch"]
+    queue = running(copies.withColumn("_all", F.lit(0)), ["_all"], "range", order, "words").select("row", "epoch", "finish", F.col("before").alias("position"), "words")
     cut = queue.where(F.col("position") < budget).withColumn("words", F.least("words", F.lit(budget) - F.col("position")))
-    return rows.drop("served", "dealt"), cut
+    return rows.select("row", "doc_id", "source", "size", "source_size", "target"), cut
 
 
 def mixed(spark: SparkSession, documents: DataFrame, **how) -> DataFrame:
