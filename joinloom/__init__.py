@@ -1,0 +1 @@
+"""Inner equi-joins on Spark: strategies, workloads, plans and experiments."""

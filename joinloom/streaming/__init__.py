@@ -1,0 +1 @@
+"""Empty on purpose: every operator of this engine works on whole relations, none on streams."""
