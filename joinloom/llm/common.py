@@ -1,46 +1,35 @@
-"""What the operators of this subpackage share: column picking, the shared
-folder, tables written to it, and raw text access in Arrow batches."""
+"""What the operators of this subpackage share: column picking and raw access to Arrow batches."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes that are words' separators in the plain-word contracts: space, tab to carriage return.
+from joinloom.storage import dropped, file_system, fresh_path, importable, shared_dir, written
+
+__all__ = ["LOWER_ASCII", "dropped", "file_system", "fresh_path", "importable", "pick", "positional", "raw_texts", "shared_dir", "table", "whole_groups", "written"]
+
 UPPER = bytes(range(65, 91))
 LOWER_ASCII = bytes.maketrans(UPPER, UPPER.lower())
 
 
 def positional(df: DataFrame) -> DataFrame:
     """The same rows with the column names _0, _1, ..., so that names that clash do no harm."""
+    importable(df.sparkSession)
     return df.toDF(*[f"_{i}" for i in range(len(df.columns))])
 
 
-def importable(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver found it, too."""
-    env, here = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
-    if here not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), here]))
-
-
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Just these columns. Of columns with equal names the first counts; case decides
     before case-insensitive equality does."""
-    importable(df.sparkSession)
-    flat, have = positional(df), list(df.columns)
+    have = list(df.columns)
     low = [c.lower() for c in have]
     at = {n: have.index(n) if n in have else low.index(n.lower()) for n in names}
+    flat = positional(df)
     return flat.select(*[F.col(f"_{at[n]}").alias(n) for n in names])
 
 
@@ -48,46 +37,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset
-    (a single machine, as in tests) a temporary folder is made and noted in the session."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        own = tempfile.mkdtemp(prefix="joinloom-")
-        atexit.register(shutil.rmtree, own, True)
-        found = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    if "://" not in found and not found.startswith("file:"):
-        found = f"file://{found}"
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def written(spark: SparkSession, df: DataFrame, what: str) -> tuple[DataFrame, str]:
-    """df, computed once into a table in the shared folder; and the table's path. A lost executor
-    costs no more than its running tasks, since the table outlives it."""
-    path = fresh_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def dropped(spark: SparkSession, path: str) -> None:
-    """Deletes a table that nothing reads any longer."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
-    """For executors that write or read flat files in the shared folder."""
-    if uri.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
-    return pafs.FileSystem.from_uri(uri)
-
-
 def raw_texts(column: pa.Array) -> list[bytes | None]:
     """A string column's values as UTF-8 bytes."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

@@ -104,7 +104,7 @@ def mix(spark: SparkSession, documents: DataFrame, weights: tuple[int, ...] = WE
     copies = placed.where("size > 0 and target > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     copies = copies.withColumn("begun", F.col("before") + F.col("epoch") * F.col("source_size")).where("begun < target").drop("before")
     copies = copies.withColumn("finish", F.least((F.col("begun") + F.col("size")) / F.col("target"), F.lit(1.0)))
-    copies = copies.withColumn("words", F.least("size", (F.round("target") - F.col("begun")).cast("long"))).where("words > 0")
+    copies = copies.withColumn("words", F.least("size", (F.floor("target") - F.col("begun")).cast("long"))).where("words > 0")
     # Virtual time runs alike for all sources, so ranges of equal width hold about as many copies.
     copies = copies.select("row", "epoch", "finish", "words", "at", "dealt", "doc_id", (F.col("finish") * 2**bits).cast("int").alias("range"))
     order = ["finish", "at", "dealt", F.col("doc_id").asc_nulls_first(), "words", "epoch"]

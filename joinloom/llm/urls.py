@@ -167,11 +167,13 @@ def learn_bayes(urls: DataFrame, words: Words) -> Bayes:
     counts = each.groupBy("token").agg(F.sum(F.when(F.col("block"), F.col("n")).otherwise(0)).alias("b"), F.sum(F.when(~F.col("block"), F.col("n")).otherwise(0)).alias("a"))
     docs = counts.where("token = ''").first() or {"a": 0, "b": 0}
     found = {r["token"]: [r["a"], r["b"]] for r in counts.where("token <> ''").orderBy(F.desc(F.col("a") + F.col("b")), "token").limit(FEATURES).collect()}
-    for side, seeds in enumerate((WANTED, UNWANTED)):
-        for w in seeds:
-            found.setdefault(f"h:{w}", [0, 0])[side] += SEED_COUNT
-    allow, block = (sum(v[k] for v in found.values()) + len(found) + 1 for k in (0, 1))
-    odds = {t: log((v[1] + 1) / block) - log((v[0] + 1) / allow) for t, v in found.items()}
+    given = {f"h:{w}": side for side, seeds in enumerate((WANTED, UNWANTED)) for w in seeds}
+    # What the seed words are given is no observation, so it adds to no class's total.
+    allow, block = (sum(v[k] for v in found.values()) + len(found | given) + 1 for k in (0, 1))
+    odds = {}
+    for t in found | given:
+        n = [x + SEED_COUNT * (given.get(t) == k) for k, x in enumerate(found.get(t, (0, 0)))]
+        odds[t] = log((n[1] + 1) / block) - log((n[0] + 1) / allow)
     return Bayes(odds, log(docs["b"] + 1) - log(docs["a"] + 1), log(allow) - log(block))
 
 

@@ -1,0 +1,71 @@
+import itertools
+
+import pytest
+from pyspark.sql import functions as F
+
+from joinloom.llm import queries, urls
+
+SCHEMA = "page_id long, url string, html string"
+URLS = [None, "", "no scheme", "http://", "http://A.NET", "http://a.net/", "http://net/x", "http://internet/x", "HTTP://WWW.Example.NET/en/p?q#f", "http://example.net/en", "http://example.net?/en/", "https://sub.example.com/de/x", "https://notexample.com/de/x", "a://b://c/d", "x://fr.org/fr/", "x://É.org/fr/\n", "http://h#frag/x?y", "http://u:p@host.net:80/x", "//a.net/x", "http://spam-farm.example.org/en/1", "http://a.b.org/fr/x?http://c.net/"]
+
+
+def brute(url):
+    if url is None or "://" not in url:
+        return "", "", None, None
+    rest = url.split("://", 1)[1]
+    host = next((rest[:i] for i, c in enumerate(rest) if c in "/?#"), rest)
+    path = rest[len(host) :]
+    path = next((path[:i] for i, c in enumerate(path) if c in "?#"), path)
+    host = host.translate({c: c + 32 for c in range(65, 91)})
+    fits = [(len(h + p), h + p, v) for v, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return host, path, *(max(fits)[1:] if fits else (None, None))
+
+
+def test_rules(spark):
+    rows = [(i, u, "<p>words of a page</p>") for i, u in enumerate(URLS)] + [(None, URLS[5], None), (3, URLS[5], "")]
+    got = urls.judge(spark, spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == len(rows)
+    by = {(r.page_id, r.host, r.path): r for r in got}
+    for i, u, _ in rows:
+        host, path, rule, verdict = brute(u)
+        r = by[i, host, path]
+        assert r.rule == rule and r.verdict in ("allow", "block") and (verdict is None or r.verdict == verdict)
+
+
+def test_viterbi_against_all_splits():
+    words = urls.Words({"the": -1.0, "rapist": -3.0, "therapist": -3.5, "a": -2.0, "pen": -2.5, "island": -2.5, "is": -1.5, "land": -2.6}, 1000)
+
+    def score(parts):
+        return sum(words.logs.get(p, words.unknown(len(p))) for p in parts)
+
+    for name in ("therapist", "penisland", "apen", "xyz", "thexpen", "", "isla"):
+        splits = [[name[a:b] for a, b in itertools.pairwise((0, *cut, len(name)))] for n in range(len(name) or 1) for cut in itertools.combinations(range(1, len(name)), n)] if name else [[]]
+        assert score(words.split(name)) == pytest.approx(max(map(score, splits)))
+    assert words.split("thepenisland") == ["the", "pen", "island"]
+
+
+def test_word_counts_cover_whole_texts(spark):
+    df = spark.createDataFrame([("The cat the CAT " * 30_000 + "zebra",), (None,), ("",), ("x y1 é",)], "text string")
+    assert {r.word: r.n for r in urls.word_counts(df).collect()} == {"the": 60_000, "cat": 60_000, "zebra": 1}
+
+
+def test_bayes_against_counting(spark):
+    words = urls.Words({w: -2.0 for w in ("spam", "farm", "good", "site", "en", "farm")}, 100)
+    rows = [("spamfarm.org", "/en/1")] * 3 + [("goodsite.org", "/en/2")] * 9 + [("farm.org", "/x")]
+    model = urls.learn_bayes(spark.createDataFrame(rows, "host string, path string"), words)
+    assert model.blocks(["h:spam", "h:farm"]) > 0 > model.blocks(["h:good", "h:site"])
+    assert model.odds["h:farm"] > 0 and abs(model.odds["p:#"]) < 2
+
+
+def test_unwanted_hosts_are_blocked_and_clean_ones_not(spark, data):
+    got = queries.QUERIES["op7_url_filter"](spark, "/root/testdata/sf0.01").where("rule is null").collect()
+    bad = [r for r in got if any(w in r.host for w in ("spam-farm", "casino-win", "cheap-pills", "free-bets", "ads-track", "adult-x"))]
+    clean = [r for r in got if r not in bad]
+    assert bad and all(r.verdict == "block" for r in bad)
+    assert sum(r.verdict == "allow" for r in clean) >= 0.97 * len(clean)
+
+
+def test_empty_and_clashing(spark):
+    assert urls.judge(spark, spark.createDataFrame([], SCHEMA)).collect() == []
+    df = spark.createDataFrame([(1, "http://a.net/", "x y z")], SCHEMA).withColumns({"host": F.lit(1), "path": F.lit(2), "rule": F.lit(3), "words": F.lit(4)})
+    assert [(r.host, r.rule) for r in urls.judge(spark, df).collect()] == [("a.net", "net/")]
