@@ -1,0 +1,24 @@
+"""The engine and the entry point work where the corpus operators are left out."""
+
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
+ROOT = Path(__file__).resolve().parents[1]
+
+
+def test_entry_imports_without_them(tmp_path):
+    shutil.copytree(ROOT / "joinloom", tmp_path / "joinloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'q7_shape' in q and 'pipeline' not in q and not any(n.startswith('op') for n in q); print(len(q), len(e.oracle_sql()))"
+    done = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+    n, oracles = map(int, done.stdout.split())
+    assert n > 50 and oracles > 50
+
+
+def test_nothing_else_imports_them():
+    for p in (ROOT / "joinloom").rglob("*.py"):
+        if "llm" not in p.relative_to(ROOT).parts:
+            assert "joinloom.llm" not in p.read_text() and "import llm" not in p.read_text(), p
