@@ -27,7 +27,8 @@ CALIBRATE = 5
 #: more than SLACK times what the quantile REACH of the calibration texts is.
 FOREIGN = 0.75
 REACH, SLACK = 0.98, 2.0
-SLAB = 1 << 19
+#: Characters that are scored at a time, and rows whose texts are decoded at a time.
+SLAB, ROWS = 1 << 17, 256
 MIX = np.uint64(0x9E3779B97F4A7C15)
 UNKNOWN = "und"
 
@@ -59,12 +60,23 @@ def normal(text: str) -> np.ndarray:
 def gram_hashes(points: np.ndarray, order: int) -> list[np.ndarray]:
     """out[n - 1][i]: the hash of the n characters that end at i. Hashes that would begin before the
     array wrap around and are not to be used."""
+    return list(_orders(points, order))
+
+
+def _orders(points: np.ndarray, order: int) -> Iterator[np.ndarray]:
     wide = points.astype(np.uint64) + np.uint64(1)
-    out, power = [wide * MIX], MIX
+    hashes, power = wide * MIX, MIX
+    yield hashes
     for n in range(2, order + 1):
         power = np.uint64(int(power) * int(MIX) * 2 % 2**64 | 1)
-        out.append(out[-1] + np.roll(wide, n - 1) * power)
-    return out
+        hashes = hashes + np.roll(wide, n - 1) * power
+        yield hashes
+
+
+def _three(points: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of n - 1, n and n + 1 characters; for n = 1 the first is no use."""
+    last = [x for k, x in enumerate(_orders(points, n + 1), 1) if k >= n - 1]
+    return tuple(last) if n > 1 else (last[0], *last)
 
 
 @dataclass
@@ -86,52 +98,51 @@ class Model:
 
 def train(texts: dict[str, list[str]], order: int = ORDER) -> Model:
     """Interpolated Kneser-Ney: the highest order counts occurrences, lower ones distinct left
-    neighbours; one discount n1 / (n1 + 2 n2) an order and language."""
+    neighbours; one discount n1 / (n1 + 2 n2) an order and language. One language's hashes of three
+    orders are held at a time."""
     languages = sorted(texts)
     streams = []
     for lang in languages:
         pad = np.full(order - 1, 32, np.uint32)
         streams.append(np.concatenate([x for t in texts[lang] for x in (pad, normal(t))] or [pad]))
-    grams = [gram_hashes(s, order) for s in streams]
-    valid = slice(order - 1, None)  # every n-gram there has its full context
     hashes, logp, back = [], [], []
     low_p = None
     floor = np.full(len(languages), -20.0)
     for n in range(1, order + 1):
-        every = np.unique(np.concatenate([g[n - 1][valid] for g in grams]))
+        # Every n-gram from position order - 1 on has its full context.
+        owns = [np.unique(_three(points, n)[1][order - 1 :]) for points in streams]
+        every = np.unique(np.concatenate(owns))
+        del owns
         p = np.zeros((len(every), len(languages)))
         lam = np.ones((len(hashes[-1]) if n > 1 else 1, len(languages)))
-        suffix_at = np.zeros(len(every), np.int64)
-        for k, g in enumerate(grams):
-            ends = np.arange(order - 1, len(g[0]))
+        suffix_at, context_of = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
+        for k, points in enumerate(streams):
+            low, grams, high = _three(points, n)
+            ends = np.arange(order - 1, len(points))
             if n < order:  # continuation counts: distinct (n + 1)-grams by their last n characters
-                _, one = np.unique(g[n][valid], return_index=True)
+                _, one = np.unique(high[order - 1 :], return_index=True)
                 ends = ends[one]
-            own, first, count = np.unique(g[n - 1][ends], return_index=True, return_counts=True)
+            own, first, count = np.unique(grams[ends], return_index=True, return_counts=True)
             if not len(own):
                 continue
             ends = ends[first]
             at = np.searchsorted(every, own)
             ones, twos = np.count_nonzero(count == 1), np.count_nonzero(count == 2)
             cut = min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.05
-            context = np.searchsorted(hashes[-1], g[n - 2][ends - 1]) if n > 1 else np.zeros(len(own), np.int64)
+            context = np.searchsorted(hashes[-1], low[ends - 1]) if n > 1 else np.zeros(len(own), np.int64)
             total = np.bincount(context, count, minlength=len(lam))
             kinds = np.bincount(context, minlength=len(lam))
             seen = total > 0
             lam[seen, k] = cut * kinds[seen] / total[seen]
             p[at, k] = (count - cut) / total[context]
+            context_of[at] = context  # the same for all languages that have the n-gram
             if n > 1:
-                suffix_at[at] = np.searchsorted(hashes[-1], g[n - 2][ends])
+                suffix_at[at] = np.searchsorted(hashes[-1], low[ends])
         if n == 1:
             alphabet = len(every) + 1
             p += lam[0] / alphabet
             floor = np.log(lam[0] / alphabet)
         else:
-            # of an n-gram, any language's end serves to find its context
-            context_of = np.zeros(len(every), np.int64)
-            for g in grams:
-                own, first = np.unique(g[n - 1][valid], return_index=True)
-                context_of[np.searchsorted(every, own)] = np.searchsorted(hashes[-1], g[n - 2][first + order - 2])
             p += lam[context_of] * low_p[suffix_at]
             back.append(np.log(lam).astype(np.float32))
         hashes.append(every)
@@ -309,10 +320,10 @@ def predict(spark: SparkSession, documents: DataFrame, model: Model) -> DataFram
 
 
 def judged(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    texts = [None if x is None else x.decode() for x in raw_texts(column)]
     if not model.languages:
-        return np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts), bool)
-    return decide(model, texts)
+        return np.full(len(column), -1), np.zeros(len(column)), np.zeros(len(column), bool)
+    parts = [decide(model, [None if x is None else x.decode() for x in raw_texts(column.slice(at, ROWS))]) for at in range(0, len(column), ROWS)]
+    return tuple(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, kind) for k, kind in enumerate((np.int64, float, bool)))
 
 
 def accepted(spark: SparkSession, documents: DataFrame, model: Model) -> DataFrame:
