@@ -5,13 +5,14 @@ from __future__ import annotations
 import itertools
 import time
 from collections.abc import Iterable
-from dataclasses import asdict, dataclass, fields
+from dataclasses import asdict, dataclass
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from joinloom.operators.joins import checksum, equi_join, strategy_of
+from joinloom.profile import append_csv
 from joinloom.sources.workloads import cyclic_keys, missed, primary_keys, uniform_keys, with_payload, zipf_keys
 
 #: What each parameter can be; the grid is their product, but for what makes no sense. Fixed values.
@@ -124,10 +125,8 @@ def run(spark: SparkSession, configs: Iterable[Config], sink: str | None = None,
         except Exception as e:
             row["error"] = f"{type(e).__name__}: {e}"[:500]
         rows.append(row)
-    if sink and rows:
-        kinds = {f.name: {"int": "long", "float": "double", "str": "string"}[str(f.type)] for f in fields(Config)}
-        kinds = {"utc": "string"} | kinds | {"turn": "long", "strategy": "string", "seconds": "double", "rows": "long", "key_sum": "long", "error": "string"}
-        spark.createDataFrame([tuple(r.values()) for r in rows], ", ".join(f"{n} {k}" for n, k in kinds.items())).coalesce(1).write.mode("append").csv(sink, header=True)
+    if sink:
+        append_csv(spark, rows, sink)
     return rows
 
 

@@ -38,10 +38,18 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def written(spark: SparkSession, df: DataFrame, what: str) -> tuple[DataFrame, str]:
+#: Narrow rows to a file, where it is known how many there are at most.
+FILE_ROWS = 100_000
+
+
+def written(spark: SparkSession, df: DataFrame, what: str, rows: int | None = None) -> tuple[DataFrame, str]:
     """df, computed once into a table in the shared folder; and the table's path. A lost executor
-    costs no more than its running tasks, since the table outlives it."""
+    costs no more than its running tasks, since the table outlives it. rows: how many there are at
+    most, if they are narrow and the number is known; then no more files and last tasks are made than
+    that many need."""
     path = fresh_path(spark, what)
+    if rows is not None:
+        df = df.coalesce(1 + rows // FILE_ROWS)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
