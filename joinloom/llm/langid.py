@@ -25,7 +25,7 @@ CALIBRATE = 5
 #: A text is rejected if its cross-entropy is above its language's mean by more than this share of
 #: what texts of other languages are above it, and, in units of one over the root of its length, by
 #: more than SLACK times what the quantile REACH of the calibration texts is.
-FOREIGN = 0.75
+FOREIGN = 1.0
 REACH, SLACK = 0.98, 2.0
 #: Characters that are scored at a time, and rows whose texts are decoded at a time.
 SLAB, ROWS = 1 << 17, 256
