@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from joinloom.operators.joins import checksum, equi_join, strategy_of
-from joinloom.profile import append_csv
+from joinloom.plans.queries import star_join
+from joinloom.profile import append_csv, profiled
 from joinloom.sources.workloads import cyclic_keys, missed, primary_keys, uniform_keys, with_payload, zipf_keys
 
 #: What each parameter can be; the grid is their product, but for what makes no sense. Fixed values.
@@ -133,3 +134,10 @@ def run(spark: SparkSession, configs: Iterable[Config], sink: str | None = None,
 def configs(df: DataFrame) -> list[Config]:
     """A choice as configurations; a grid's choice has some hundreds of rows at most."""
     return [Config(**r.asDict()) for r in df.limit(10_000).collect()]
+
+
+def star_steps(fact: DataFrame, dim: DataFrame, strategy: str = "AUTO", sink: str | None = None) -> list[dict]:
+    """A row for each prefix of a star join's joins, with jid, the last join's number, and the seconds
+    that the joins up to it take together."""
+    keys = [c for c in fact.columns if c != "tid"]
+    return [profiled(star_join(fact.select("tid", *keys[: j + 1]), dim, strategy), sink, jid=j, strategy=strategy) for j in range(len(keys))]

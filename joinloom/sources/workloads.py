@@ -71,6 +71,17 @@ def missed(keys: DataFrame, one_in: int) -> DataFrame:
     return keys.withColumn("k", F.when(F.col("pos") % one_in == 0, F.col("k")).otherwise(F.col("k") + MISS).cast(kind))
 
 
+def first_of(keys: DataFrame, n: int, one_in: int) -> DataFrame:
+    """The first n // one_in of n keys by position: the other way to lower a match rate."""
+    return keys.where(F.col("pos") < n // one_in)
+
+
+def drawn_keys(spark: SparkSession, n: int, low: int, high: int, seed: int = 42, key: str = "long") -> DataFrame:
+    """(pos, k): n keys drawn evenly from low .. high, with repeats, by a hash of the position."""
+    draw = F.pmod(F.xxhash64(F.lit(seed), "pos"), F.lit(high - low + 1).cast("long")) + low
+    return positions(spark, n).withColumn("k", draw.cast(key))
+
+
 def with_payload(keys: DataFrame, names: list[str], payload: str | None = None) -> DataFrame:
     """k and payload columns that are copies of it, in the type asked for."""
     return keys.select("k", *[(F.col("k").cast(payload) if payload else F.col("k")).alias(n) for n in names])

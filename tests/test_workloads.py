@@ -112,3 +112,16 @@ def test_choices_run(spark):
     assert len(found) == 24
     rows = experiments.run(spark, found[:2], widths=experiments.WIDTHS["8b8b"], smaller=16, repeats=1)
     assert all(not r["error"] and r["rows"] == 2 ** (r["nr"] + r["ratio"] - 16) for r in rows)
+
+
+def test_star_steps(spark, tmp_path):
+    fact, dim = w.star(spark, 300, 16)
+    rows = experiments.star_steps(fact, dim, "SHJ", f"file://{tmp_path}/star")
+    assert [r["jid"] for r in rows] == list(range(8)) and spark.read.csv(f"file://{tmp_path}/star", header=True).count() == 8
+
+
+def test_other_generators(spark):
+    assert [r.pos for r in w.first_of(w.primary_keys(spark, 100), 100, 8).orderBy("pos").collect()] == list(range(12))
+    drawn = [r.k for r in w.drawn_keys(spark, 5000, -3, 6).collect()]
+    assert set(drawn) == set(range(-3, 7)) and max(Counter(drawn).values()) < 700
+    assert [r.k for r in w.drawn_keys(spark, 5000, -3, 6).orderBy("pos").collect()] == [r.k for r in w.drawn_keys(spark, 5000, -3, 6).orderBy("pos").collect()]
