@@ -11,10 +11,10 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from joinloom.llm.common import LOWER_ASCII, pick, raw_texts
+from joinloom.llm.common import LOWER_ASCII, pick, raw_texts, written
 
 #: (verdict, host, path). Fixed values.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -24,10 +24,10 @@ UNWANTED = ("spam", "casino", "adult", "porn", "sex", "bet", "bets", "betting",
 WANTED = ("news", "wiki", "edu", "school", "university", "library", "science", "research", "docs", "blog", "museum", "journal", "book", "books", "archive", "gov", "history", "health", "forum", "learn")
 #: Occurrences that each of these words counts for before any url is seen.
 SEED_COUNT = 20
-#: Words that the segmenter knows, by count over all pages; longer ones aren't kept.
+#: Words that the segmenter knows at most, by count over all pages; longer ones aren't kept.
 VOCABULARY = 50_000
 LONGEST = 20
-#: Tokens that the classifier keeps, by count over all urls.
+#: Tokens that the classifier keeps at most, by count over all urls.
 FEATURES = 50_000
 WORD = re.compile(rb"[a-z]+")
 PIECE = re.compile(r"[a-z]+|[0-9]+|[^\x00-\x7f]+")
@@ -105,10 +105,20 @@ def _pairs(held: Counter[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in held], pa.string()), pa.array(held.values(), pa.int64())], names=["word", "n"])
 
 
-def learn_words(texts: DataFrame) -> Words:
-    """The VOCABULARY most frequent words, ties by code point, and the seed words."""
-    top = word_counts(texts).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    counts = {r["word"]: r["n"] for r in top}
+def most(spark: SparkSession, counts: DataFrame, n: str, limit: int) -> list[Row]:
+    """The rows of highest n, as many whole ties as there is room for within limit. The cut is found
+    from how many rows each n has, so that the driver gets no more than the rows it keeps; a sort with
+    a limit would send it that many from each task."""
+    counts, _ = written(spark, counts, "counts")
+    sizes = counts.groupBy(n).agg(F.count("*").alias("_rows"))
+    room = sizes.withColumn("_upto", F.sum("_rows").over(Window.orderBy(F.desc(n)))).where(F.col("_upto") <= limit)
+    least = room.agg(F.min(n).alias("least")).first()["least"]
+    return [] if least is None else counts.where(F.col(n) >= least).collect()
+
+
+def learn_words(spark: SparkSession, texts: DataFrame) -> Words:
+    """The words that most() keeps of VOCABULARY, and the seed words."""
+    counts = {r["word"]: r["n"] for r in most(spark, word_counts(texts), "n", VOCABULARY)}
     for w in (*UNWANTED, *WANTED):
         counts[w] = counts.get(w, 0) + SEED_COUNT
     total = sum(counts.values())
@@ -140,9 +150,9 @@ class Bayes:
         return self.prior + sum(self.odds.get(t, self.unseen) for t in found)
 
 
-def learn_bayes(urls: DataFrame, words: Words) -> Bayes:
+def learn_bayes(spark: SparkSession, urls: DataFrame, words: Words) -> Bayes:
     """urls(host, path): counts of every token of all urls, labelled by the seed words among their
-    hosts' words. The FEATURES most frequent are kept, and the seed words. Laplace smoothing."""
+    hosts' words. Those that most() keeps of FEATURES stay, and the seed words. Laplace smoothing."""
     unwanted = {f"h:{w}" for w in UNWANTED}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,8 +175,10 @@ def learn_bayes(urls: DataFrame, words: Words) -> Bayes:
 
     each = urls.mapInArrow(count, "token string, block boolean, n long")
     counts = each.groupBy("token").agg(F.sum(F.when(F.col("block"), F.col("n")).otherwise(0)).alias("b"), F.sum(F.when(~F.col("block"), F.col("n")).otherwise(0)).alias("a"))
-    docs = counts.where("token = ''").first() or {"a": 0, "b": 0}
-    found = {r["token"]: [r["a"], r["b"]] for r in counts.where("token <> ''").orderBy(F.desc(F.col("a") + F.col("b")), "token").limit(FEATURES).collect()}
+    # The empty token, which stands for the urls themselves, is as frequent as any and always kept.
+    kept = most(spark, counts.withColumn("n", F.when(F.col("token") == "", F.lit(2**62)).otherwise(F.col("a") + F.col("b"))), "n", FEATURES)
+    found = {r["token"]: [r["a"], r["b"]] for r in kept}
+    docs = found.pop("", [0, 0])
     given = {f"h:{w}": side for side, seeds in enumerate((WANTED, UNWANTED)) for w in seeds}
     # What the seed words are given is no observation, so it adds to no class's total.
     allow, block = (sum(v[k] for v in found.values()) + len(found | given) + 1 for k in (0, 1))
@@ -174,7 +186,7 @@ def learn_bayes(urls: DataFrame, words: Words) -> Bayes:
     for t in found | given:
         n = [x + SEED_COUNT * (given.get(t) == k) for k, x in enumerate(found.get(t, (0, 0)))]
         odds[t] = log((n[1] + 1) / block) - log((n[0] + 1) / allow)
-    return Bayes(odds, log(docs["b"] + 1) - log(docs["a"] + 1), log(allow) - log(block))
+    return Bayes(odds, log(docs[1] + 1) - log(docs[0] + 1), log(allow) - log(block))
 
 
 def judge(spark: SparkSession, pages: DataFrame) -> DataFrame:
@@ -188,11 +200,11 @@ def judge(spark: SparkSession, pages: DataFrame) -> DataFrame:
     A null url, and one without ://, has empty host and path, fits no rule, and gets the prior's
     verdict. Null html counts no words. A row for each row. Both models are bounded in size, and the
     counts behind them are over all rows. No rows: no rows. Other columns are ignored."""
-    words = learn_words(pick(pages, "html"))
+    words = learn_words(spark, pick(pages, "html"))
     rows = pick(pages, "page_id", "url").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     host, path = F.col("host"), F.col("path")
     rows = rows.select("page_id", "host", "path", rule_of(host, path, "rule").alias("rule"), rule_of(host, path, "verdict").alias("ruled"))
-    bayes = learn_bayes(rows.select("host", "path"), words)
+    bayes = learn_bayes(spark, rows.select("host", "path"), words)
     models = spark.sparkContext.broadcast((words, bayes))  # VOCABULARY and FEATURES bound it
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

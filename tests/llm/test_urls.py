@@ -49,10 +49,17 @@ def test_word_counts_cover_whole_texts(spark):
     assert {r.word: r.n for r in urls.word_counts(df).collect()} == {"the": 60_000, "cat": 60_000, "zebra": 1}
 
 
+@pytest.mark.parametrize("limit, kept", [(0, []), (1, ["a"]), (2, ["a"]), (3, ["a", "b", "c"]), (9, ["a", "b", "c", "d"])])
+def test_most_keeps_whole_ties(spark, limit, kept):
+    df = spark.createDataFrame([("a", 9), ("b", 5), ("c", 5), ("d", 1)], "word string, n long")
+    assert sorted(r.word for r in urls.most(spark, df, "n", limit)) == kept
+    assert urls.most(spark, df.limit(0), "n", limit) == []
+
+
 def test_bayes_against_counting(spark):
     words = urls.Words({w: -2.0 for w in ("spam", "farm", "good", "site", "en", "farm")}, 100)
     rows = [("spamfarm.org", "/en/1")] * 3 + [("goodsite.org", "/en/2")] * 9 + [("farm.org", "/x")]
-    model = urls.learn_bayes(spark.createDataFrame(rows, "host string, path string"), words)
+    model = urls.learn_bayes(spark, spark.createDataFrame(rows, "host string, path string"), words)
     assert model.blocks(["h:spam", "h:farm"]) > 0 > model.blocks(["h:good", "h:site"])
     assert model.odds["h:farm"] > 0 and abs(model.odds["p:#"]) < 2
 
