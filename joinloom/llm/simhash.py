@@ -164,8 +164,8 @@ def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
     docs = pick(documents, "text", "doc_id").select("text", "doc_id", F.xxhash64("text").alias("text_hash"))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, fp long"
     rows, _ = written(spark, docs.mapInArrow(_print_batches, schema), "simhash")
-    prints, _ = written(spark, rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
-    found = star_components(spark, links(prints.select("fp"))).select(F.col("node").alias("fp"), "root")
+    prints, _ = written(spark, rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints", rows.count())
+    found = star_components(spark, links(prints.select("fp")), 6 * prints.count()).select(F.col("node").alias("fp"), "root")
     rooted = prints.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     member = rooted.select("fp", "root").join(least, "root")
