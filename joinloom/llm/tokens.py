@@ -19,7 +19,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from joinloom.llm.common import file_system, fresh_path, pick, written
+from joinloom.llm.common import dropped, file_system, fresh_path, pick, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 VOCABULARY_BYTES = 32_000_000
@@ -142,6 +142,9 @@ def scan(spark: SparkSession, folder: str, end: int = END, dtype: str = DTYPE, b
 
 def counted(spark: SparkSession, documents: DataFrame, ranks: bytes) -> DataFrame:
     """(doc_id, n_tokens long), a row for each document row: written as token files and counted by the
-    scan. Null and empty texts have none. No rows: no rows. Other columns are ignored."""
+    scan, after which the files are deleted. Null and empty texts have none. No rows: no rows. Other
+    columns are ignored."""
     folder, names = token_files(spark, documents, ranks)
-    return names.join(scan(spark, folder), ["file", "ordinal"]).select("doc_id", "n_tokens")
+    counts = scan(spark, folder)  # has read the files by now; what is left works on their separators
+    dropped(spark, folder)
+    return names.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
