@@ -13,6 +13,7 @@ from joinloom.operators.relational import peek, row_ids
 from joinloom.plans import experiments
 from joinloom.sources import raw
 from joinloom.sources import workloads as w
+from joinloom.sources.tables import exists, kept_or_made
 
 
 @pytest.mark.parametrize("n", [1, 2, 7, 97, 1024, 5489])
@@ -125,3 +126,15 @@ def test_other_generators(spark):
     drawn = [r.k for r in w.drawn_keys(spark, 5000, -3, 6).collect()]
     assert set(drawn) == set(range(-3, 7)) and max(Counter(drawn).values()) < 700
     assert [r.k for r in w.drawn_keys(spark, 5000, -3, 6).orderBy("pos").collect()] == [r.k for r in w.drawn_keys(spark, 5000, -3, 6).orderBy("pos").collect()]
+
+
+def test_inputs_are_made_once(spark, tmp_path):
+    path, made = f"file://{tmp_path}/r", []
+
+    def make():
+        made.append(1)
+        return w.primary_keys(spark, 50)
+
+    first, again = (kept_or_made(spark, path, make) for _ in range(2))
+    assert len(made) == 1 and sorted(map(tuple, first.collect())) == sorted(map(tuple, again.collect()))
+    assert exists(spark, path) and not exists(spark, f"{path}-none")
