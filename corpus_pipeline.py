@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from joinloom.llm import decontaminate, langid, mixing, secrets, simhash
+from joinloom.llm import decontaminate, langid, mixing, secrets, similar, simhash
 from joinloom.llm.common import table, written
 
 
@@ -18,8 +18,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id."""
-    return simhash.one_of_each(spark, docs)
+    """Of each group that a similarity of 0.8 or more of 5-word shingles joins, the document with the
+    smallest doc_id."""
+    return simhash.one_of_each(spark, docs, similar.near_duplicates)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +24,10 @@ ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 ONE = np.uint64(1)
 
 
-def fingerprint(raw: bytes | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit SimHash of a text's word shingles; no words: zero. Long texts are hashed in
-    pieces, so that memory holds the counters and one piece."""
-    words = (raw or b"").translate(LOWER_ASCII).split()
-    if not words:
-        return 0
+def shingle_hashes(words: list[bytes], shingle: int) -> Iterator[np.ndarray]:
+    """The 64-bit hashes of the shingles of some words, in pieces; fewer words than a shingle has are one."""
     n = max(1, len(words) - shingle + 1)
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest = xxhash.xxh64_intdigest
     for at in range(0, n, 16384):
         part = words[at : min(at + 16384, n) + shingle - 1]
         joined = b" ".join(part)
@@ -41,7 +37,19 @@ def fingerprint(raw: bytes | None, shingle: int = SHINGLE) -> int:
             ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1) - 1
             starts = [0, *(ends[: len(part) - shingle] + 1).tolist()]
             hashes = [digest(joined[s:e], SEED) for s, e in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        yield np.array(hashes, "<u8")
+
+
+def fingerprint(raw: bytes | None, shingle: int = SHINGLE) -> int:
+    """The 64-bit SimHash of a text's word shingles; no words: zero. Long texts are hashed in
+    pieces, so that memory holds the counters and one piece."""
+    words = (raw or b"").translate(LOWER_ASCII).split()
+    if not words:
+        return 0
+    n = max(1, len(words) - shingle + 1)
+    counts = np.zeros(64, np.int64)
+    for hashes in shingle_hashes(words, shingle):
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
 
@@ -172,11 +180,11 @@ def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
     return rows.join(member, "fp").select("doc_id", "fp", "root", "component_id", "text_hash")
 
 
-def one_of_each(spark: SparkSession, documents: DataFrame) -> DataFrame:
+def one_of_each(spark: SparkSession, documents: DataFrame, groups: Callable[[SparkSession, DataFrame], DataFrame] = near_duplicates) -> DataFrame:
     """The documents, whole, of which one of each group of near-duplicates stays: that with the
-    smallest doc_id. Of rows with equal doc_id in a group that with the least text hash stays, and of
+    smallest doc_id. groups: what finds the groups, with the columns of near_duplicates. Of rows with equal doc_id in a group that with the least text hash stays, and of
     wholly equal rows any one. Column names that clash come back as they were."""
-    found, _ = written(spark, near_duplicates(spark, documents), "groups")
+    found, _ = written(spark, groups(spark, documents), "groups")
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")).alias("best"))
     stays = best.select(F.col("best.doc_id").alias("_k"), F.col("best.text_hash").alias("_h"))
     names = list(documents.columns)
