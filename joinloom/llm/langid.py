@@ -22,11 +22,11 @@ SAMPLE_TOTAL = 64_000_000
 LANGUAGES = 512
 #: One in so many of the drawn rows calibrates score and rejection and trains nothing.
 CALIBRATE = 5
-#: A text is rejected if its cross-entropy is above its language's mean by more than this share of
-#: what texts of other languages are above it, and, in units of one over the root of its length, by
-#: more than SLACK times what the quantile REACH of the calibration texts is.
-FOREIGN = 1.0
-REACH, SLACK = 0.98, 2.0
+#: A text is rejected if its cross-entropy is above its language's mean by more than half-way from the
+#: quantile OWN of what calibration texts are, to the quantile FOREIGN of what those of a language are
+#: under the best of the other languages' models, as if theirs had not been learned. Of the languages
+#: the one whose texts are least above counts.
+OWN, FOREIGN = 0.995, 0.05
 #: Characters that are scored at a time, and rows whose texts are decoded at a time.
 SLAB, ROWS = 1 << 17, 256
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -91,8 +91,7 @@ class Model:
     back: list[np.ndarray]
     floor: np.ndarray
     means: np.ndarray
-    gaps: np.ndarray
-    reach: float = np.inf
+    bound: float = np.inf
     sharp: float = 1.0
 
 
@@ -149,7 +148,7 @@ def train(texts: dict[str, list[str]], order: int = ORDER) -> Model:
         logp.append(np.log(p).astype(np.float32))
         low_p = p
     back.append(np.zeros((0, len(languages)), np.float32))
-    return Model(languages, hashes, logp, back, floor.astype(np.float32), np.zeros(len(languages)), np.full(len(languages), np.inf))
+    return Model(languages, hashes, logp, back, floor.astype(np.float32), np.zeros(len(languages)))
 
 
 def _logs(model: Model, grams: list[np.ndarray], ends: np.ndarray) -> np.ndarray:
@@ -229,7 +228,7 @@ def decide(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarra
     sure = _posterior(nats, n, model.sharp).max(axis=1)
     off = nats[np.arange(len(nats)), best] - model.means[best]
     none = n == 0
-    return np.where(none, -1, best), np.where(none, 0.0, sure), ~none & ((off * np.sqrt(n) <= model.reach) | (off <= FOREIGN * model.gaps[best]))
+    return np.where(none, -1, best), np.where(none, 0.0, sure), ~none & (off <= model.bound)
 
 
 def _posterior(nats: np.ndarray, n: np.ndarray, sharp: float) -> np.ndarray:
@@ -241,8 +240,9 @@ def _posterior(nats: np.ndarray, n: np.ndarray, sharp: float) -> np.ndarray:
 
 def calibrate(model: Model, texts: list[str], langs: list[str]) -> Model:
     """Sets the sharpness that gives the rows' languages the highest likelihood, each language's mean
-    cross-entropy, how far above it texts of other languages are (of one language alone: text of
-    unseen characters), and the reach of its own texts."""
+    cross-entropy, and how far above it a text may be: each language's rows are judged by the other
+    languages' models too (of one language alone: text of unseen characters is). At least OWN of the
+    rows stay within the bound, also where languages are too alike to tell."""
     nats, n = entropies(model, texts)
     fit = np.flatnonzero(n > 0)
     nats, n = nats[fit], n[fit]
@@ -255,9 +255,15 @@ def calibrate(model: Model, texts: list[str], langs: list[str]) -> Model:
         overall = own.mean()
         for k in range(len(model.languages)):
             model.means[k] = own[truth == k].mean() if (truth == k).any() else overall
-            others = nats[truth != k, k]
-            model.gaps[k] = max(0.0, (others.mean() if len(others) else -float(model.floor[k])) - model.means[k])
-        model.reach = SLACK * float(np.quantile(np.abs(own - model.means[truth]) * np.sqrt(n), REACH))
+        high = float(np.quantile(own - model.means[truth], OWN))
+        if len(model.languages) > 1:
+            nats[np.arange(len(fit)), truth] = np.inf
+            next_best = nats.argmin(axis=1)
+            above = nats[np.arange(len(fit)), next_best] - model.means[next_best]
+            low = min(float(np.quantile(above[truth == k], FOREIGN)) for k in np.unique(truth))
+        else:
+            low = -float(model.floor[0]) - overall
+        model.bound = max(high, (high + low) / 2)
     return model
 
 
@@ -271,7 +277,7 @@ def learn(documents: DataFrame, rows: int = SAMPLE_ROWS, longest: int = SAMPLE_B
     if len(counts) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
     if not counts:
-        return Model([], [], [], [], np.zeros(0, np.float32), np.zeros(0), np.zeros(0))
+        return Model([], [], [], [], np.zeros(0, np.float32), np.zeros(0))
     whole = 1 << 30
     dealt = F.pmod(F.xxhash64(F.lit(5), "doc_id", F.xxhash64("text")), F.lit(whole))
     each = SAMPLE_TOTAL // len(counts)
@@ -287,7 +293,7 @@ def learn(documents: DataFrame, rows: int = SAMPLE_ROWS, longest: int = SAMPLE_B
             texts[r["lang"]].append(r["text"])
     texts = {lang: own for lang, own in texts.items() if any(c.isalpha() for t in own for c in t)}
     if not texts:
-        return Model([], [], [], [], np.zeros(0, np.float32), np.zeros(0), np.zeros(0))
+        return Model([], [], [], [], np.zeros(0, np.float32), np.zeros(0))
     held = [(t, lang) for t, lang in held if lang in texts]
     return calibrate(train(texts, order), [t for t, _ in held], [lang for _, lang in held])
 

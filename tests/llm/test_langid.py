@@ -108,6 +108,17 @@ def test_gibberish_is_rejected(spark):
     assert not any(r.accepted for r in langid.predict(spark, df, model).collect())
 
 
+@pytest.mark.parametrize("unlearned", ["de", "en", "es", "fr"])
+def test_unlearned_languages_are_rejected(spark, unlearned):
+    """Texts of the learned languages stay, those of a real one that was left out don't."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.learn(langid.learned_rows(docs.where(F.col("lang") != unlearned)))
+    judged = langid.predict(spark, docs, model).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    foreign = [r.accepted for r in judged if r.lang == unlearned]
+    own = [r.accepted for r in judged if r.lang != unlearned]
+    assert len(foreign) > 50 and sum(foreign) <= 0.05 * len(foreign) and sum(own) >= 0.99 * len(own)
+
+
 @pytest.mark.parametrize("rows", [[], [(1, "abc", None, "s")], [(1, None, "aa", "s")], [(1, "123", "aa", "s")]])
 def test_nothing_to_learn_from(spark, rows):
     df = spark.createDataFrame(rows, SCHEMA)
