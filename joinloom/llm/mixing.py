@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from fractions import Fraction
+from math import lcm
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from joinloom.llm.common import pick, written
@@ -13,6 +14,10 @@ WEIGHTS = (3, 1, 2)
 #: The mix's words for each word there is, and the most passes over a source.
 SHARE = Fraction(3, 2)
 EPOCHS = 2
+#: A copy of more words is queued in pieces of so many, as a network's messages are in packets: it is
+#: by less than a piece that a source can be behind or ahead of its share.
+PIECE = 256
+SEED = 17
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -32,20 +37,23 @@ def ranked(spark: SparkSession, sources: DataFrame) -> DataFrame:
     return numbered.join(earlier, "part").withColumn("at", F.col("own") + F.col("earlier")).drop("part", "own", "earlier")
 
 
-def running(rows: DataFrame, group: list[str], part: str, order: list, value: str) -> DataFrame:
+def running(rows: DataFrame, group: list[str], part: str, order: list, value: str, below: int | None = None) -> DataFrame:
     """rows and, as `before`, the sum of value over the rows of the group that come earlier: those of
     lower parts, and those of the same part earlier in the order. A part is a range of the order, so
-    a task sums one range and a group of any size is spread over many."""
+    a task sums one range and a group of any size is spread over many. below: parts that begin at that
+    sum or later are left out."""
     sums = rows.groupBy(*group, part).agg(F.sum(value).alias("_sum"))
     earlier = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_earlier", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum")
+    if below is not None:
+        sums = sums.where(F.col("_earlier") < below)
     within = Window.partitionBy(*group, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     summed = rows.withColumn("_own", F.coalesce(F.sum(value).over(within), F.lit(0)))
     return summed.join(sums, [*group, part]).withColumn("before", (F.col("_own") + F.col("_earlier")).cast("long")).drop("_own", "_earlier", part)
 
 
 def targets(spark: SparkSession, sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = SHARE, epochs: int = EPOCHS) -> DataFrame:
-    """sources(source, source_size long) to (source, source_size, target double, at long).
+    """sources(source, source_size long) to (source, source_size, weight long, target double, at long).
 
     Sources in code-point order, null last, weigh weights, repeating. They share `share` of all sizes
     by weight; a target stops at epochs times its source's size, and what it can't use is shared
@@ -67,50 +75,64 @@ def targets(spark: SparkSession, sources: DataFrame, weights: tuple[int, ...] =
         if new <= level:
             break
         level = new
-    return rows.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("weight") * F.lit(float(level))).alias("target"), "at")
+    return rows.select("source", "source_size", "weight", F.least(F.col("cap").cast("double"), F.col("weight") * F.lit(float(level))).alias("target"), "at")
 
 
-def mix(spark: SparkSession, documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = SHARE, epochs: int = EPOCHS, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+def dealt(seed: int) -> Column:
+    """Where a document comes in its source: 60 bits of a hash of its id and text."""
+    own = F.concat_ws("/", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
+    return F.conv(F.substring(F.md5(own.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def mix(spark: SparkSession, documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = SHARE, epochs: int = EPOCHS, seed: int = SEED, piece: int = PIECE) -> tuple[DataFrame, DataFrame]:
     """Returns (rows, sequence).
 
     rows: row long, doc_id, source, size, source_size, target, for every document row. sequence: the
-    mix in order: row, epoch int, finish double, position long (the mix's words before it), words
-    long (those it takes).
-
-    A source's documents are shuffled by a seeded hash. The word that is the source's n-th, over its
-    passes, has virtual time n / target, and a copy's virtual finish time is that of its last word. At
-    virtual time 1 every source has had its target, so a copy that is being served then ends there.
-    The copies are range-sorted by finish time over the whole table and cut where the budget is used
-    up. Running sums go by ranges of rows, so that a source with most rows is spread over many tasks.
+    mix in order: row, epoch int, start long (words of the document before it), words long, finish
+    long (its virtual finish time, times the weights' least common multiple), position long (the
+    mix's words before it).
+
+    A source's documents are shuffled by a seeded hash, and wait in that order, `epochs` times over,
+    each copy in pieces of at most `piece` words. A piece's virtual finish time is the source's words
+    up to its end, over all passes, divided by the source's weight: a whole number, by the least common
+    multiple of the weights. All sources' pieces are range-sorted by finish time, ties by the sources'
+    order, and the mix is what comes before `share` of all words is used up; the piece that crosses
+    that is cut. A source with fewer words than its share runs dry, and the others go on. target is
+    what the fluid limit of the queue would give the source: no row is taken by it.
 
     A null text has size 0; documents of size 0 are never taken. Null sources are one source. Rows of
     one doc_id are separate documents; of rows equal in all columns it is undefined, and without
-    effect, which is taken. Reruns agree, since order depends on the rows' values alone. No rows: no
-    rows. Other columns are ignored, whatever their names."""
+    effect, which is taken. Reruns agree, since order depends on the rows' values alone. A size that
+    would take finish times beyond a long is an error. No rows: no rows. Other columns are ignored,
+    whatever their names."""
     docs = pick(documents, "doc_id", "text", "source")
-    dealt = F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")).bitwiseAND(2**63 - 1)
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.select("doc_id", "source", size.alias("size"), dealt.alias("dealt"), F.monotonically_increasing_id().alias("row"))
+    sized = docs.select("doc_id", "source", size.alias("size"), dealt(seed).alias("dealt"), F.monotonically_increasing_id().alias("row"))
     sized, _ = written(spark, sized, "sizes")
     aims = targets(spark, sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, epochs)
-    total = aims.agg(F.sum("source_size").alias("n")).first()["n"] or 0
-    budget = int(share * int(total))
+    total = int(aims.agg(F.sum("source_size").alias("n")).first()["n"] or 0)
+    unit = lcm(*weights)
+    if total * epochs * unit >= 2**63:
+        raise ValueError(f"{total} words, {epochs} times over, have finish times in units of 1/{unit} beyond a long")
 
     bits = max(6, (sized.count() // RANGE_ROWS).bit_length())
     own = aims.withColumnRenamed("source", "_s")
     rows = sized.join(own, sized["source"].eqNullSafe(own["_s"])).drop("_s")
-    placed = running(rows.withColumn("part", F.shiftright("dealt", 63 - bits)), ["at"], "part", ["dealt", F.col("doc_id").asc_nulls_first(), "size"], "size")
-
-    copies = placed.where("size > 0 and target > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    copies = copies.withColumn("begun", F.col("before") + F.col("epoch") * F.col("source_size")).where("begun < target").drop("before")
-    copies = copies.withColumn("finish", F.least((F.col("begun") + F.col("size")) / F.col("target"), F.lit(1.0)))
-    copies = copies.withColumn("words", F.least("size", (F.floor("target") - F.col("begun")).cast("long"))).where("words > 0")
-    # Virtual time runs alike for all sources, so ranges of equal width hold about as many copies.
-    copies = copies.select("row", "epoch", "finish", "words", "at", "dealt", "doc_id", (F.col("finish") * 2**bits).cast("int").alias("range"))
-    order = ["finish", "at", "dealt", F.col("doc_id").asc_nulls_first(), "words", "epoch"]
-    queue = running(copies.withColumn("_all", F.lit(0)), ["_all"], "range", order, "words").select("row", "epoch", "finish", F.col("before").alias("position"), "words")
-    cut = queue.where(F.col("position") < budget).withColumn("words", F.least("words", F.lit(budget) - F.col("position")))
-    return rows.select("row", "doc_id", "source", "size", "source_size", "target"), cut
+    placed = running(rows.withColumn("part", F.shiftright("dealt", 60 - bits)), ["at"], "part", ["dealt", F.col("doc_id").asc_nulls_first(), "size"], "size")
+
+    many = F.ceil(F.col("size") / piece)
+    queued = placed.where("size > 0").withColumn("many", many).withColumn("n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") * epochs - 1)))
+    queued = queued.withColumn("epoch", F.floor(F.col("n") / F.col("many"))).withColumn("start", F.col("n") % F.col("many") * piece)
+    queued = queued.withColumn("words", F.least(F.lit(piece).cast("long"), F.col("size") - F.col("start")))
+    ends = F.col("before") + F.col("epoch") * F.col("source_size") + F.col("start") + F.col("words")
+    queued = queued.select("row", F.col("epoch").cast("int").alias("epoch"), "start", "words", (ends * F.expr(f"{unit} div weight")).alias("finish"), "at")
+    # No two pieces of a source finish together, so this order is total.
+    order = ["finish", "at"]
+    queue, _ = written(spark, queued.repartitionByRange(*order).withColumn("part", F.spark_partition_id()).withColumn("_all", F.lit(0)), "queue")
+    budget = int(share * total)
+    taken = running(queue, ["_all"], "part", order, "words", budget).where(F.col("before") < budget)
+    sequence = taken.select("row", "epoch", "start", F.least("words", F.lit(budget) - F.col("before")).alias("words"), "finish", F.col("before").alias("position"))
+    return rows.select("row", "doc_id", "source", "size", "source_size", "target"), sequence
 
 
 def mixed(spark: SparkSession, documents: DataFrame, **how) -> DataFrame:

@@ -28,7 +28,30 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-@query("op10_mix_to_weights")
+_SIZE = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+_DEALT = f"('0x' || substr(md5('{mixing.SEED}/' || coalesce(CAST(doc_id AS VARCHAR), '') || '/' || coalesce(text, '')), 1, 15))::BIGINT"
+OP10_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, {_SIZE} AS size, {_DEALT} AS dealt FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
+w AS (SELECT *, CASE place % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight FROM s),
+-- the level is the greatest of those at which the sources that fill up first are full
+l AS (SELECT max(level) AS level FROM (
+  SELECT (1.5::DOUBLE * (SELECT sum(source_size) FROM w) - coalesce(sum(2 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM w WINDOW o AS (ORDER BY source_size * (6 // weight), place))),
+t AS (SELECT *, least(2.0::DOUBLE * source_size, weight * level) AS target FROM w, l),
+b AS (SELECT CAST(3 * sum(source_size) AS BIGINT) // 2 AS budget FROM w),
+p AS (SELECT r, size, source_size, weight, place, coalesce(sum(size) OVER (PARTITION BY place ORDER BY dealt, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT *, n % many * {mixing.PIECE} AS start, least({mixing.PIECE}, size - start) AS words, (before + n // many * source_size + start + words) * (6 // weight) AS finish
+      FROM (SELECT *, unnest(range(2 * many)) AS n FROM (SELECT *, (size + {mixing.PIECE} - 1) // {mixing.PIECE} AS many FROM p WHERE size > 0))),
+c AS (SELECT r, words, sum(words) OVER (ORDER BY finish, place ROWS UNBOUNDED PRECEDING) - words AS position FROM q),
+k AS (SELECT r, sum(least(words, budget - position)) AS taken FROM c, b WHERE position < budget GROUP BY r)
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken
+FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN k USING (r)
+"""
+
+
+@query("op10_mix_to_weights", OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(spark, table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
