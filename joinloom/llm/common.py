@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from joinloom.storage import dropped, file_system, fresh_path, importable, shared_dir, written
 
-__all__ = ["LOWER_ASCII", "dropped", "file_system", "fresh_path", "importable", "pick", "positional", "raw_texts", "shared_dir", "table", "whole_groups", "written"]
+__all__ = ["LOWER_ASCII", "dropped", "file_system", "fresh_path", "importable", "pick", "place_of", "positional", "raw_texts", "shared_dir", "sized", "table", "whole_groups", "written"]
 
 UPPER = bytes(range(65, 91))
 LOWER_ASCII = bytes.maketrans(UPPER, UPPER.lower())
@@ -26,11 +26,23 @@ def positional(df: DataFrame) -> DataFrame:
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Just these columns. Of columns with equal names the first counts; case decides
     before case-insensitive equality does."""
-    have = list(df.columns)
-    low = [c.lower() for c in have]
-    at = {n: have.index(n) if n in have else low.index(n.lower()) for n in names}
     flat = positional(df)
-    return flat.select(*[F.col(f"_{at[n]}").alias(n) for n in names])
+    return flat.select(*[F.col(f"_{place_of(df, n)}").alias(n) for n in names])
+
+
+def place_of(df: DataFrame, name: str) -> int:
+    """Where the column is that pick() takes."""
+    have = list(df.columns)
+    return have.index(name) if name in have else [c.lower() for c in have].index(name.lower())
+
+
+#: Rows of a few numbers or short names that a broadcast may hold, about 100 MB as a hash table.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """df, of narrow rows, to be broadcast if there are few enough; else it is joined as it may be."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

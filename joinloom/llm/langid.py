@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,24 +12,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joinloom.llm.common import pick, raw_texts
+from joinloom.llm.common import pick, place_of, positional, raw_texts, sized, written
 
 ORDER = 5
-#: Training rows a language: about as many rows as these are drawn, and no row with a longer text is.
+#: Training rows a language: about as many rows as these are drawn; of a longer text a passage of so many
+#: characters is.
 SAMPLE_ROWS = 600
-SAMPLE_BYTES = 200_000
-#: Expected bytes of the whole sample at most, shared alike by the languages.
-SAMPLE_TOTAL = 64_000_000
-LANGUAGES = 512
-#: One in so many of the drawn rows calibrates score and rejection and trains nothing.
+SAMPLE_CHARS = 100_000
+#: Expected characters of the whole sample at most, shared alike by the languages.
+SAMPLE_TOTAL = 32_000_000
+#: One in so many of a language's drawn rows calibrates score and rejection and trains nothing.
 CALIBRATE = 5
 #: A text is rejected if its cross-entropy is above its language's mean by more than half-way from the
 #: quantile OWN of what calibration texts are, to the quantile FOREIGN of what those of a language are
 #: under the best of the other languages' models, as if theirs had not been learned. Of the languages
 #: the one whose texts are least above counts.
 OWN, FOREIGN = 0.995, 0.05
-#: Characters that are scored at a time, and rows whose texts are decoded at a time.
-SLAB, ROWS = 1 << 17, 256
+#: Characters that are scored at a time, languages that they are scored for at a time, and rows whose
+#: texts are decoded at a time.
+SLAB, ACROSS, ROWS = 1 << 18, 32, 256
 MIX = np.uint64(0x9E3779B97F4A7C15)
 UNKNOWN = "und"
 
@@ -81,12 +83,16 @@ def _three(points: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 @dataclass
 class Model:
-    """hashes[n - 1]: sorted hashes of n-grams that any language has. logp[n - 1]: their interpolated
-    log probability by language. back[n - 1]: as contexts, each language's log weight of the lower
-    order (0: a context that it lacks). floor: the log probability of an unseen character."""
+    """hashes[n - 1]: sorted hashes of the n-grams that any language has. The languages that have n-gram
+    i, by number and in order, are lang[n - 1][start[n - 1][i] : start[n - 1][i + 1]]; logp has their
+    interpolated log probabilities, and back, for contexts, their log weights of the lower order. So a
+    language costs what its own n-grams take, however many others there are. floor: the log
+    probability of an unseen character."""
 
     languages: list[str]
     hashes: list[np.ndarray]
+    start: list[np.ndarray]
+    lang: list[np.ndarray]
     logp: list[np.ndarray]
     back: list[np.ndarray]
     floor: np.ndarray
@@ -95,85 +101,108 @@ class Model:
     sharp: float = 1.0
 
 
-def train(texts: dict[str, list[str]], order: int = ORDER) -> Model:
-    """Interpolated Kneser-Ney: the highest order counts occurrences, lower ones distinct left
-    neighbours; one discount n1 / (n1 + 2 n2) an order and language. One language's hashes of three
-    orders are held at a time."""
-    languages = sorted(texts)
-    streams = []
-    for lang in languages:
-        pad = np.full(order - 1, 32, np.uint32)
-        streams.append(np.concatenate([x for t in texts[lang] for x in (pad, normal(t))] or [pad]))
-    hashes, logp, back = [], [], []
-    low_p = None
-    floor = np.full(len(languages), -20.0)
+def no_model() -> Model:
+    return Model([], [], [], [], [], [], np.zeros(0, np.float32), np.zeros(0))
+
+
+def _language(points: np.ndarray, order: int, alphabet: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By order: a language's n-grams as sorted hashes, their log probabilities, and the log weight that
+    each leaves to the lower order when it is a context. Interpolated Kneser-Ney: the highest order
+    counts occurrences, lower ones distinct left neighbours; one discount n1 / (n1 + 2 n2) an order."""
+    out: list[list[np.ndarray]] = []
     for n in range(1, order + 1):
-        # Every n-gram from position order - 1 on has its full context.
-        owns = [np.unique(_three(points, n)[1][order - 1 :]) for points in streams]
-        every = np.unique(np.concatenate(owns))
-        del owns
-        p = np.zeros((len(every), len(languages)))
-        lam = np.ones((len(hashes[-1]) if n > 1 else 1, len(languages)))
-        suffix_at, context_of = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
-        for k, points in enumerate(streams):
-            low, grams, high = _three(points, n)
-            ends = np.arange(order - 1, len(points))
-            if n < order:  # continuation counts: distinct (n + 1)-grams by their last n characters
-                _, one = np.unique(high[order - 1 :], return_index=True)
-                ends = ends[one]
-            own, first, count = np.unique(grams[ends], return_index=True, return_counts=True)
-            if not len(own):
-                continue
-            ends = ends[first]
-            at = np.searchsorted(every, own)
-            ones, twos = np.count_nonzero(count == 1), np.count_nonzero(count == 2)
-            cut = min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.05
-            context = np.searchsorted(hashes[-1], low[ends - 1]) if n > 1 else np.zeros(len(own), np.int64)
-            total = np.bincount(context, count, minlength=len(lam))
-            kinds = np.bincount(context, minlength=len(lam))
-            seen = total > 0
-            lam[seen, k] = cut * kinds[seen] / total[seen]
-            p[at, k] = (count - cut) / total[context]
-            context_of[at] = context  # the same for all languages that have the n-gram
-            if n > 1:
-                suffix_at[at] = np.searchsorted(hashes[-1], low[ends])
+        low, grams, high = _three(points, n)
+        ends = np.arange(order - 1, len(points))  # whose n-grams have their full context
+        if n < order:  # continuation counts: distinct (n + 1)-grams by their last n characters
+            _, one = np.unique(high[order - 1 :], return_index=True)
+            ends = ends[one]
+        own, first, count = np.unique(grams[ends], return_index=True, return_counts=True)
+        ends = ends[first]
+        ones, twos = np.count_nonzero(count == 1), np.count_nonzero(count == 2)
+        cut = min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.05
+        context = np.searchsorted(out[-1][0], low[ends - 1]) if n > 1 else np.zeros(len(own), np.int64)
+        many = len(out[-1][0]) if n > 1 else 1
+        total, kinds = np.bincount(context, count, minlength=many), np.bincount(context, minlength=many)
+        seen = total > 0
+        left = np.ones(many)
+        left[seen] = cut * kinds[seen] / total[seen]
+        p = (count - cut) / total[context]
         if n == 1:
-            alphabet = len(every) + 1
-            p += lam[0] / alphabet
-            floor = np.log(lam[0] / alphabet)
+            p += left[0] / alphabet
+            floor = left[0] / alphabet
         else:
-            p += lam[context_of] * low_p[suffix_at]
-            back.append(np.log(lam).astype(np.float32))
-        hashes.append(every)
-        logp.append(np.log(p).astype(np.float32))
-        low_p = p
-    back.append(np.zeros((0, len(languages)), np.float32))
-    return Model(languages, hashes, logp, back, floor.astype(np.float32), np.zeros(len(languages)))
-
-
-def _logs(model: Model, grams: list[np.ndarray], ends: np.ndarray) -> np.ndarray:
-    """Log probability by language of the characters at ends."""
-    out = np.zeros((len(ends), len(model.languages)), np.float32)
-    left = np.arange(len(ends))
-    for n in range(len(model.hashes), 0, -1):
-        table = model.hashes[n - 1]
-        keys = grams[n - 1][ends[left]]
-        at = np.searchsorted(table, keys)
-        at[at == len(table)] = 0
-        found = table[at] == keys if len(table) else np.zeros(len(keys), bool)
-        if found.all():
-            out[left] += model.logp[n - 1][at]
-            return out
-        out[left[found]] += model.logp[n - 1][at[found]]
-        left = left[~found]
+            p += left[context] * lower[np.searchsorted(out[-1][0], low[ends])]
+            out[-1][2] = np.log(left).astype(np.float32)
+        out.append([own, np.log(p).astype(np.float32), np.zeros(len(own), np.float32)])
+        lower = p
+    return [*map(tuple, out), np.log(floor)]
+
+
+def train(texts: dict[str, list[str]], order: int = ORDER) -> Model:
+    """A model of each language, and all of them in one set of sorted arrays. One language's text is
+    held as code points and hashes at a time."""
+    languages = sorted(texts)
+    pad = np.full(order - 1, 32, np.uint32)
+
+    def stream(lang: str) -> np.ndarray:
+        return np.concatenate([x for t in texts[lang] for x in (pad, normal(t))] or [pad])
+
+    alphabet = len(np.unique(np.concatenate([np.unique(stream(lang)[order - 1 :]) for lang in languages]))) + 1
+    models = [_language(stream(lang), order, alphabet) for lang in languages]
+    out = Model(languages, [], [], [], [], [], np.array([m[order] for m in models], np.float32), np.zeros(len(languages)))
+    for n in range(order):
+        hashes, logp, back = (np.concatenate([m[n][k] for m in models]) for k in range(3))
+        lang = np.repeat(np.arange(len(models), dtype=np.int32), [len(m[n][0]) for m in models])
+        by = np.argsort(hashes, kind="stable")
+        hashes = hashes[by]
+        first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
+        out.hashes.append(hashes[first])
+        out.start.append(np.r_[first, len(hashes)])
+        out.lang.append(lang[by])
+        out.logp.append(logp[by])
+        out.back.append(back[by])
+    return out
+
+
+def _place(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys the sorted table has, and where."""
+    at = np.searchsorted(table, keys)
+    at[at == len(table)] = 0
+    some = np.flatnonzero(table[at] == keys)
+    return some, at[some]
+
+
+def _entries(model: Model, n: int, rows: np.ndarray, at: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows that are at n-grams `at`: (row, language - low, entry) of the languages low .. high - 1
+    that have them."""
+    first = model.start[n - 1][at]
+    many = model.start[n - 1][at + 1] - first
+    entry = np.arange(many.sum()) + np.repeat(first - np.cumsum(many) + many, many)
+    lang = model.lang[n - 1][entry]
+    row = np.repeat(rows, many)
+    if low or high < len(model.languages):
+        own = (lang >= low) & (lang < high)
+        entry, lang, row = entry[own], lang[own], row[own]
+    return row, lang - low, entry
+
+
+def _logs(model: Model, grams: list[np.ndarray], ends: np.ndarray, low: int = 0, high: int | None = None) -> np.ndarray:
+    """Log probability, by language from low to high, of the characters at ends: that of the longest
+    n-gram that the language has, with the weights that the longer ones' contexts leave."""
+    high = len(model.languages) if high is None else high
+    out = np.repeat(model.floor[None, low:high], len(ends), axis=0)
+    known = np.arange(len(ends))  # whose shorter n-grams some language has
+    after = known  # whose contexts some language has
+    for n in range(1, len(model.hashes) + 1):
         if n > 1:
-            contexts = model.hashes[n - 2]
-            keys = grams[n - 2][ends[left] - 1]
-            at = np.searchsorted(contexts, keys)
-            at[at == len(contexts)] = 0
-            known = contexts[at] == keys if len(contexts) else np.zeros(len(keys), bool)
-            out[left[known]] += model.back[n - 2][at[known]]
-    out[left] += model.floor
+            some, at = _place(model.hashes[n - 2], grams[n - 2][ends[after] - 1])
+            after = after[some]
+            row, lang, entry = _entries(model, n - 1, after, at, low, high)
+            out[row, lang] += model.back[n - 2][entry]
+        some, at = _place(model.hashes[n - 1], grams[n - 1][ends[known]])
+        known = known[some]
+        row, lang, entry = _entries(model, n, known, at, low, high)
+        out[row, lang] = model.logp[n - 1][entry]
     return out
 
 
@@ -195,11 +224,15 @@ def entropies(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.nda
         for stop, (_, p) in zip(stops, pieces, strict=True):
             scored[stop - len(p) : stop - len(p) + order - 1] = False
         ends = np.flatnonzero(scored)
-        logs = _logs(model, gram_hashes(points, order), ends)
+        grams = gram_hashes(points, order)
+        _, one, which = np.unique(grams[-1][ends], return_index=True, return_inverse=True)
         counts = np.array([len(p) - order + 1 for _, p in pieces])
-        got = np.add.reduceat(logs, np.cumsum(counts) - counts, axis=0, dtype=np.float64)
-        np.add.at(sums, [i for i, _ in pieces], -got)
-        np.add.at(lengths, [i for i, _ in pieces], counts)
+        firsts, rows = np.cumsum(counts) - counts, [i for i, _ in pieces]
+        for low in range(0, len(model.languages), ACROSS):
+            high = min(low + ACROSS, len(model.languages))
+            logs = _logs(model, grams, ends[one], low, high)
+            np.add.at(sums[:, low:high], rows, -np.add.reduceat(logs[which], firsts, axis=0, dtype=np.float64))
+        np.add.at(lengths, rows, counts)
         pieces.clear()
 
     for i, text in enumerate(texts):
@@ -267,34 +300,36 @@ def calibrate(model: Model, texts: list[str], langs: list[str]) -> Model:
     return model
 
 
-def learn(documents: DataFrame, rows: int = SAMPLE_ROWS, longest: int = SAMPLE_BYTES, order: int = ORDER) -> Model:
+def learn(documents: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, total: int = SAMPLE_TOTAL, order: int = ORDER) -> Model:
     """The model from documents (doc_id, text, lang), of those with a text and a lang: about `rows`
-    rows a language, drawn by a hash of doc_id and text. The driver holds no more of the table than
-    that sample, of up to LANGUAGES languages and texts of up to `longest` bytes. No rows: a model
-    without languages."""
-    usable = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= longest))
-    counts = usable.groupBy("lang").agg(F.count("*").alias("count"), F.sum(F.octet_length("text")).alias("bytes")).orderBy("lang").limit(LANGUAGES + 1).collect()
-    if len(counts) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    if not counts:
-        return Model([], [], [], [], np.zeros(0, np.float32), np.zeros(0))
+    rows a language, drawn by a hash of doc_id and text, of a text above `chars` characters a drawn
+    passage of that length, and about `total` characters in all. The driver holds that sample and the
+    model of it, which is in proportion to it, whatever the number of languages. A language of which
+    rows are drawn keeps one at least for training. No rows: a model without languages."""
+    usable = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    length = F.least(F.length("text"), F.lit(chars))
+    counts, _ = written(documents.sparkSession, usable.groupBy("lang").agg(F.count("*").alias("count"), F.sum(length).alias("chars")), "languages")
+    languages = counts.count()
+    if not languages:
+        return no_model()
     whole = 1 << 30
-    dealt = F.pmod(F.xxhash64(F.lit(5), "doc_id", F.xxhash64("text")), F.lit(whole))
-    each = SAMPLE_TOTAL // len(counts)
-    share = F.create_map(*[F.lit(x) for c in counts for x in (c["lang"], min(whole, -(-whole * rows // c["count"]), -(-whole * each // max(1, c["bytes"]))))])
-    drawn = usable.withColumn("dealt", dealt).where(F.col("dealt") < F.element_at(share, F.col("lang"))).select("dealt", "doc_id", "lang", "text").collect()
-    drawn.sort(key=lambda r: (r["dealt"], r["doc_id"] or 0, r["text"]))
-    texts: dict[str, list[str]] = {c["lang"]: [] for c in counts}
+    share = F.least(F.lit(float(whole)), F.ceil(F.lit(float(whole * rows)) / F.col("count")), F.ceil(F.lit(float(whole) * total / languages) / F.greatest(F.lit(1), "chars")))
+    shares = counts.select("lang", share.alias("share"))
+    by_text = F.xxhash64(F.lit(5), "doc_id", F.xxhash64("text"))
+    begin = F.pmod(F.xxhash64(F.lit(6), by_text), F.greatest(F.lit(1), F.length("text") - chars + 1)) + 1
+    passage = F.substring("text", begin.cast("int"), F.lit(chars))
+    drawn = usable.withColumn("dealt", F.pmod(by_text, F.lit(whole))).join(sized(shares, languages), "lang").where("dealt < share")
+    drawn = drawn.select("dealt", "doc_id", "lang", passage.alias("text")).collect()
+    drawn.sort(key=lambda r: (r["lang"], r["dealt"], r["doc_id"] or 0, r["text"]))
+    texts: dict[str, list[str]] = {}
     held: list[tuple[str, str]] = []
-    for k, r in enumerate(drawn):
-        if k % CALIBRATE == CALIBRATE - 1:
-            held.append((r["text"], r["lang"]))
-        else:
-            texts[r["lang"]].append(r["text"])
-    texts = {lang: own for lang, own in texts.items() if any(c.isalpha() for t in own for c in t)}
+    for lang, own in itertools.groupby(drawn, key=lambda r: r["lang"]):
+        own = [r["text"] for r in own if any(c.isalpha() for c in r["text"])]
+        if own:
+            texts[lang] = [t for k, t in enumerate(own) if k % CALIBRATE < CALIBRATE - 1]
+            held += [(t, lang) for k, t in enumerate(own) if k % CALIBRATE == CALIBRATE - 1]
     if not texts:
-        return Model([], [], [], [], np.zeros(0, np.float32), np.zeros(0))
-    held = [(t, lang) for t, lang in held if lang in texts]
+        return no_model()
     return calibrate(train(texts, order), [t for t, _ in held], [lang for _, lang in held])
 
 
@@ -313,7 +348,7 @@ def predict(spark: SparkSession, documents: DataFrame, model: Model) -> DataFram
     learned. score: the calibrated probability, 0 for und. accepted is false for und and for texts
     that are unlike their language. A row for each row; other columns are ignored."""
     docs = pick(documents, "doc_id", "text")
-    shipped = spark.sparkContext.broadcast(model)  # bounded by the sample it is made from
+    shipped = spark.sparkContext.broadcast(model)  # in proportion to the sample it is made from
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shipped.value
@@ -333,14 +368,18 @@ def judged(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def accepted(spark: SparkSession, documents: DataFrame, model: Model) -> DataFrame:
-    """The documents, whole, that the model doesn't reject."""
-    names = list(documents.columns)
-    at = names.index("text")
-    shipped = spark.sparkContext.broadcast(model)
+    """The documents, whole and with their columns as they were, that the model doesn't reject: null and
+    empty texts and texts without letters go, texts of any length are judged whole, and each of repeated
+    rows is. If no language was learned, as of a corpus without labels, nothing can be told foreign and
+    all documents stay. No rows: no rows. The first column named text counts, in any case."""
+    if not model.languages:
+        return documents
+    at = place_of(documents, "text")
+    flat = positional(documents)
+    shipped = spark.sparkContext.broadcast(model)  # in proportion to the sample it is made from
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(judged(shipped.value, batch.column(at))[2], pa.bool_()))
 
-    flat = documents.toDF(*[f"_{i}" for i in range(len(names))])
-    return flat.mapInArrow(keep, flat.schema).toDF(*names)
+    return flat.mapInArrow(keep, flat.schema).toDF(*documents.columns)

@@ -119,11 +119,41 @@ def test_unlearned_languages_are_rejected(spark, unlearned):
     assert len(foreign) > 50 and sum(foreign) <= 0.05 * len(foreign) and sum(own) >= 0.99 * len(own)
 
 
+def test_ties_go_to_the_first_by_name(spark):
+    texts = ["one and the same text", "another text of both"]
+    rows = [(i, t, lang, "s") for i, (lang, t) in enumerate([(lang, t) for lang in ("zz", "mm", "aa") for t in texts] * 4)]
+    model = langid.learn(spark.createDataFrame(rows, SCHEMA), rows=10**6)
+    assert model.languages == ["aa", "mm", "zz"]
+    got = langid.predict(spark, spark.createDataFrame(rows, SCHEMA), langid.train({lang: texts for lang in ("zz", "mm", "aa")})).collect()
+    assert {r.lang_pred for r in got} == {"aa"}
+
+
+def test_hundreds_of_languages(spark, monkeypatch):
+    """Each has letters of its own; entries are as many as the languages' own n-grams."""
+    monkeypatch.setattr(langid, "ACROSS", 7)
+    rng = np.random.default_rng(1)
+    own = {f"l{k:03}": "".join(map(chr, 0x4E00 + 20 * k + rng.integers(0, 20, 6))) for k in range(600)}
+    rows = [(i, " ".join(rng.permutation(list(a)).tolist()) + a, lang, "s") for i, (lang, a) in enumerate([x for x in own.items() for _ in range(3)])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    model = langid.learn(df)
+    assert model.languages == sorted(own)
+    assert sum(map(len, model.lang)) < 600 * 5 * 80
+    got = {r.doc_id: r.lang_pred for r in langid.predict(spark, df, model).collect()}
+    assert sum(got[i] == lang for i, _, lang, _ in rows) > 0.99 * len(rows)
+
+
+def test_languages_of_few_or_long_texts_are_learned(spark):
+    rows = [(1, "xyxyx yxy", "cc", "s"), (2, "le chat est la " * 20_000, "bb", "s")] + [(3 + i, f"the cat sat on the mat {i}", "aa", "s") for i in range(200)]
+    model = langid.learn(spark.createDataFrame(rows, SCHEMA))
+    assert model.languages == ["aa", "bb", "cc"]
+
+
 @pytest.mark.parametrize("rows", [[], [(1, "abc", None, "s")], [(1, None, "aa", "s")], [(1, "123", "aa", "s")]])
 def test_nothing_to_learn_from(spark, rows):
     df = spark.createDataFrame(rows, SCHEMA)
     model = langid.learn(df)
     assert [r.lang_pred for r in langid.predict(spark, df, model).collect()] == ["und"] * len(rows)
+    assert langid.accepted(spark, df, model).count() == len(rows)  # nothing can be told foreign
 
 
 def test_predictions_depend_on_text_alone(spark):
