@@ -63,13 +63,34 @@ def test_empty_tables(spark, tmp_path, docs, items):
     assert got == brute(docs, items)
 
 
-def test_several_passes_find_the_same(spark):
+def test_many_automata_find_the_same(spark):
+    """Windows of many times what one automaton may hold: as many automata, one scan in one process."""
     docs, items = cases()
-    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string").coalesce(1)
-    once, often = (sorted(map(tuple, decontaminate.find(spark, docs, items, limit=n).collect()), key=repr) for n in (10**9, 500))
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    _, parts = decontaminate.build(spark, items, nodes=200)
+    assert len(parts) >= 10
+    many = decontaminate.find(spark, docs, items, nodes=200, held_bytes=2000)
+    once, often = (sorted(map(tuple, x.collect()), key=repr) for x in (decontaminate.find(spark, docs, items), many))
     assert once == often
-    kept = [sorted(r.doc_id for r in decontaminate.clean(spark, docs.where("doc_id is not null"), items, limit=n).collect()) for n in (10**9, 500)]
-    assert kept[0] == kept[1] == sorted(r[0] for r in once if r[0] is not None and not r[2])
+    assert many._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    for least in (1, 10):
+        kept = [sorted(r.doc_id for r in decontaminate.clean(spark, docs.where("doc_id is not null"), items, nodes=n, held_bytes=2000, least=least).collect()) for n in (10**9, 200)]
+        assert kept[0] == kept[1] == sorted(r[0] for r in once if r[0] is not None and all(x["to"] - x["from"] < least for x in r[2]))
+
+
+def test_short_items_take_no_documents_away(spark):
+    item = "what is the name of the sea that lies between these two old lands"
+    docs = spark.createDataFrame([(1, "she said yes of course and left"), (2, f"so {item} then"), (3, None), (4, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "yes of course"), (2, item)], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontaminate.clean(spark, docs, items).collect()) == [1, 3, 4]
+    assert sorted(r.doc_id for r in decontaminate.find(spark, docs, items).where("size(runs) > 0").collect()) == [1, 2]
+
+
+def test_a_window_of_very_many_items(spark):
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    items = spark.range(5000).selectExpr("id as item_id", "'b c' as text")
+    (row,) = decontaminate.find(spark, docs, items).collect()
+    assert row["items"] == sorted(map(str, range(5000)))
 
 
 def test_spans_are_offsets_in_the_text_as_it_was(spark):
@@ -86,5 +107,7 @@ def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b c", 2), (2, "x", 3)], "doc_id long, text string, n long").select("doc_id", "text", F.col("n").alias("n_words"), F.col("n").alias("items"), F.col("n").alias("TEXT"))
     items = spark.createDataFrame([(1, "b c", 0)], "item_id long, text string, doc_id long")
     assert sorted((r.doc_id, len(r.runs)) for r in decontaminate.find(spark, df, items).collect()) == [(1, 1), (2, 0)]
-    kept = decontaminate.clean(spark, df, items)
+    kept = decontaminate.clean(spark, df, items, least=2)
     assert kept.columns == df.columns and [r[0] for r in kept.collect()] == [2]
+    upper = spark.createDataFrame([(1, 5, "a b c"), (2, 6, "x")], "doc_id long, Text_ long, TEXT string")
+    assert [r[0] for r in decontaminate.clean(spark, upper, items, least=2).collect()] == [2]
