@@ -30,7 +30,7 @@ CALIBRATE = 5
 OWN, FOREIGN = 0.995, 0.05
 #: Characters that are scored at a time, languages that they are scored for at a time, and rows whose
 #: texts are decoded at a time.
-SLAB, ACROSS, ROWS = 1 << 18, 32, 256
+SLAB, ACROSS, ROWS = 1 << 19, 32, 256
 MIX = np.uint64(0x9E3779B97F4A7C15)
 UNKNOWN = "und"
 
@@ -86,11 +86,12 @@ class Model:
     """hashes[n - 1]: sorted hashes of the n-grams that any language has. The languages that have n-gram
     i, by number and in order, are lang[n - 1][start[n - 1][i] : start[n - 1][i + 1]]; logp has their
     interpolated log probabilities, and back, for contexts, their log weights of the lower order. So a
-    language costs what its own n-grams take, however many others there are. floor: the log
-    probability of an unseen character."""
+    language costs what its own n-grams take, however many others there are. index: see _index().
+    floor: the log probability of an unseen character."""
 
     languages: list[str]
     hashes: list[np.ndarray]
+    index: list[tuple[np.ndarray, np.uint64]]
     start: list[np.ndarray]
     lang: list[np.ndarray]
     logp: list[np.ndarray]
@@ -102,7 +103,7 @@ class Model:
 
 
 def no_model() -> Model:
-    return Model([], [], [], [], [], [], np.zeros(0, np.float32), np.zeros(0))
+    return Model([], [], [], [], [], [], [], np.zeros(0, np.float32), np.zeros(0))
 
 
 def _language(points: np.ndarray, order: int, alphabet: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -149,7 +150,7 @@ def train(texts: dict[str, list[str]], order: int = ORDER) -> Model:
 
     alphabet = len(np.unique(np.concatenate([np.unique(stream(lang)[order - 1 :]) for lang in languages]))) + 1
     models = [_language(stream(lang), order, alphabet) for lang in languages]
-    out = Model(languages, [], [], [], [], [], np.array([m[order] for m in models], np.float32), np.zeros(len(languages)))
+    out = Model(languages, [], [], [], [], [], [], np.array([m[order] for m in models], np.float32), np.zeros(len(languages)))
     for n in range(order):
         hashes, logp, back = (np.concatenate([m[n][k] for m in models]) for k in range(3))
         lang = np.repeat(np.arange(len(models), dtype=np.int32), [len(m[n][0]) for m in models])
@@ -157,6 +158,7 @@ def train(texts: dict[str, list[str]], order: int = ORDER) -> Model:
         hashes = hashes[by]
         first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
         out.hashes.append(hashes[first])
+        out.index.append(_index(hashes[first]))
         out.start.append(np.r_[first, len(hashes)])
         out.lang.append(lang[by])
         out.logp.append(logp[by])
@@ -164,12 +166,38 @@ def train(texts: dict[str, list[str]], order: int = ORDER) -> Model:
     return out
 
 
-def _place(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _index(table: np.ndarray) -> tuple[np.ndarray, np.uint64]:
+    """Where in a sorted array of hashes those with each value of their first bits begin, and how far
+    to shift a hash for these; about one hash has each."""
+    bits = max(1, len(table).bit_length())
+    return np.searchsorted(table, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), np.uint64(64 - bits)
+
+
+def _place(table: np.ndarray, index: tuple[np.ndarray, np.uint64], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which keys the sorted table has, and where."""
-    at = np.searchsorted(table, keys)
-    at[at == len(table)] = 0
-    some = np.flatnonzero(table[at] == keys)
-    return some, at[some]
+    first, shift = index
+    at = first[keys >> shift]
+    out = np.full(len(keys), -1)
+    left = np.flatnonzero(at < len(table))
+    while len(left):
+        have, want = table[at[left]], keys[left]
+        here = left[have == want]
+        out[here] = at[here]
+        left = left[have < want]
+        at[left] += 1
+        left = left[at[left] < len(table)]
+    some = np.flatnonzero(out >= 0)
+    return some, out[some]
+
+
+def _different(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each different key, and for each key which of them it is."""
+    by = np.argsort(keys)
+    sorted_ = keys[by]
+    new = np.r_[True, sorted_[1:] != sorted_[:-1]]
+    which = np.empty(len(keys), np.int64)
+    which[by] = np.cumsum(new) - 1
+    return by[new], which
 
 
 def _entries(model: Model, n: int, rows: np.ndarray, at: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,11 +223,11 @@ def _logs(model: Model, grams: list[np.ndarray], ends: np.ndarray, low: int = 0,
     after = known  # whose contexts some language has
     for n in range(1, len(model.hashes) + 1):
         if n > 1:
-            some, at = _place(model.hashes[n - 2], grams[n - 2][ends[after] - 1])
+            some, at = _place(model.hashes[n - 2], model.index[n - 2], grams[n - 2][ends[after] - 1])
             after = after[some]
             row, lang, entry = _entries(model, n - 1, after, at, low, high)
             out[row, lang] += model.back[n - 2][entry]
-        some, at = _place(model.hashes[n - 1], grams[n - 1][ends[known]])
+        some, at = _place(model.hashes[n - 1], model.index[n - 1], grams[n - 1][ends[known]])
         known = known[some]
         row, lang, entry = _entries(model, n, known, at, low, high)
         out[row, lang] = model.logp[n - 1][entry]
@@ -225,7 +253,7 @@ def entropies(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.nda
             scored[stop - len(p) : stop - len(p) + order - 1] = False
         ends = np.flatnonzero(scored)
         grams = gram_hashes(points, order)
-        _, one, which = np.unique(grams[-1][ends], return_index=True, return_inverse=True)
+        one, which = _different(grams[-1][ends])
         counts = np.array([len(p) - order + 1 for _, p in pieces])
         firsts, rows = np.cumsum(counts) - counts, [i for i, _ in pieces]
         for low in range(0, len(model.languages), ACROSS):
