@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joinloom.llm.common import LOWER_ASCII, pick, raw_texts, written
+from joinloom.llm.common import LOWER_ASCII, pick, raw_texts, sized, written
 
 #: (verdict, host, path). Fixed values.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -167,8 +167,8 @@ def tokens(spark: SparkSession, names: DataFrame, counts: DataFrame) -> DataFram
 
 def learn_bayes(spark: SparkSession, found: DataFrame, blocked: int, allowed: int) -> tuple[DataFrame, int]:
     """found: tokens(); blocked and allowed: how many urls are labelled so. Returns (kind, word, odds
-    long) for the tokens that labelled urls or the seeds have, and the prior, both as log odds of
-    block against allow in 1 / UNIT. Multinomial naive Bayes with Laplace smoothing. What nothing
+    long) for the tokens that labelled urls or the seeds have, to be broadcast if they are few, and the
+    prior, both as log odds of block against allow in 1 / UNIT. Multinomial naive Bayes with Laplace smoothing. What nothing
     labelled has seen speaks for neither class, and has no row."""
     counts = found.groupBy("kind", "word").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"))
     counts, _ = written(spark, counts.where("block + allow > 0"), "tokens")
@@ -180,7 +180,7 @@ def learn_bayes(spark: SparkSession, found: DataFrame, blocked: int, allowed: in
     # What the seeds are given is no observation, so it adds to no class's total.
     share = {side: (F.col(side) + 1) / F.lit(float((total[side] or 0) + kinds)) for side in given}
     odds = counts.select("kind", "word", F.round((F.log(share["block"]) - F.log(share["allow"])) * UNIT).cast("long").alias("odds"))
-    return odds, round((log(blocked + 1) - log(allowed + 1)) * UNIT)
+    return sized(odds, kinds), round((log(blocked + 1) - log(allowed + 1)) * UNIT)
 
 
 def judge(spark: SparkSession, pages: DataFrame, learn_from: Column | None = None) -> DataFrame:
