@@ -10,8 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joinloom.llm.common import dropped, pick, written
+from joinloom.llm.common import dropped, pick, sized, written
 
+#: Levels of arrays and objects that arguments may have.
+MOST_DEPTH = 200
+#: Rows of a conversation's calls and results that are ordered in one task; longer conversations are
+#: ordered by rounds of joins.
+LOCAL_ROWS = 200_000
 TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
@@ -83,10 +88,47 @@ def _is(value: object, kind: str) -> bool:
     return isinstance(value, TYPES[kind])
 
 
+class Unfit(ValueError):
+    """What JSON can say and canonical JSON can't."""
+
+
 def _refuse(name: str) -> None:
     raise ValueError(f"{name} is no JSON")
 
 
+def _finite(digits: str) -> float:
+    if math.isinf(x := float(digits)):
+        raise Unfit("arguments hold a number beyond a double")
+    return x
+
+
+def _whole(digits: str) -> int:
+    _finite(digits)  # more digits than a double has may be an error to int()
+    return int(digits)
+
+
+def _deep(value: object) -> bool:
+    level = [value] if isinstance(value, (dict, list)) else []
+    for _ in range(MOST_DEPTH):
+        level = [y for x in level for y in (x.values() if isinstance(x, dict) else x) if isinstance(y, (dict, list))]
+    return bool(level)
+
+
+def parsed(arguments: str | None) -> object:
+    """The JSON value; raises ValueError, with what is wrong."""
+    try:
+        value = json.loads(arguments or "", parse_constant=_refuse, parse_float=_finite, parse_int=_whole)
+    except Unfit:
+        raise
+    except RecursionError:
+        raise Unfit("arguments nest too deep") from None
+    except ValueError:
+        raise ValueError("arguments are no JSON") from None
+    if _deep(value):
+        raise Unfit("arguments nest too deep")
+    return value
+
+
 def _render(tools: dict[str, dict]):
     """Adds faults and json to rows, and takes text and arguments away."""
 
@@ -97,10 +139,10 @@ def _render(tools: dict[str, dict]):
                 wrong: list[str] = []
                 if r["call_id"] is not None:
                     try:
-                        given = json.loads(r["arguments"] or "", parse_constant=_refuse)
+                        given = parsed(r["arguments"])
                         wrong = faults(given, tools[r["tool"]]) if r["tool"] in tools else ["no such tool"]
-                    except (ValueError, RecursionError):
-                        given, wrong = r["arguments"], ["arguments are no JSON"]
+                    except ValueError as e:
+                        given, wrong = r["arguments"], [str(e)]
                     line = {"arguments": given, "id": r["call_id"], "name": r["tool"], "role": r["role"], "type": "tool_call"}
                 elif r["result_of"] is not None:
                     line = {"call_id": r["result_of"], "content": r["text"], "role": r["role"], "type": "tool_result"}
@@ -114,7 +156,12 @@ def _render(tools: dict[str, dict]):
     return render
 
 
-def linked(spark: SparkSession, messages: DataFrame, tools: dict[str, dict]) -> DataFrame:
+CONV = ["no_conv", "conv"]
+IDS = [*CONV, "id"]
+NODE = ["row", *IDS, "calls", "answers", "after", "at"]
+
+
+def linked(spark: SparkSession, messages: DataFrame, tools: dict[str, dict], local_rows: int = LOCAL_ROWS) -> DataFrame:
     """messages(conv_id long, turn long, role, text, call_id, tool, arguments, result_of, after): a
     message with a call_id calls a tool with JSON arguments, one with a result_of alone is the result
     of the call of that identifier in its conversation; after, an array, names calls whose results a
@@ -123,58 +170,188 @@ def linked(spark: SparkSession, messages: DataFrame, tools: dict[str, dict]) ->
     Returns a row for each: conv_id, turn, role, call_id, result_of, kind (call, result, message),
     status, faults, json, ready long, depth long. status: linked or open for calls, with and without a
     result; duplicate for all calls of an identifier but the first by turn; linked or orphan for
-    results; plain for messages. faults: what the arguments break of the tool's schema. json:
-    canonical.
+    results; plain for messages; circular, see below. faults: what the arguments break of the tool's
+    schema, or that they are no JSON, hold a number beyond a double, or nest more than MOST_DEPTH
+    levels; such arguments stand as a string. json: canonical.
 
     (ready, depth, turn) is a topological order of the conversation that keeps to turns where it can:
     ready is the latest turn among a row and all that it waits for, depth the steps that it waits
-    there. Rows that arrive before what they need are moved in rounds, all conversations at once, each
-    round one pass of hash joins by identifier; rows on a circle of calls, or that would have
-    to move behind one, keep their turn and have status circular. Identifiers that nothing has are not waited for.
-
-    A conversation may hold most of all rows: no step gathers one in a task. Null conv_ids are one
-    conversation; a null turn counts as 0 in the order; null texts are null in the JSON; repeated rows
+    there. A result waits for its call, a call for the calls and results of the identifiers it comes
+    after; identifiers that nothing has are not waited for, and duplicates neither wait nor are waited
+    for. Rows that something of their turn or a later one is waited for by, at any number of steps,
+    have to move. Of these, the rows on a circle and those that wait for such rows keep their turn,
+    have status circular, and are not waited for.
+
+    Calls, results and what they wait for are joined by identifier, and that is all where nothing is
+    late. The calls and results of a conversation in which something is late are ordered in a task, up
+    to local_rows of them, and else by rounds of joins, as many as the longest chain of moved rows is.
+    So a conversation may hold most of all rows. Null conv_ids are one conversation; a null turn counts
+    as 0 in the order; null texts are null in the JSON; texts may have any length; repeated rows
     are a row each. No rows: no rows. Other columns are ignored."""
     names = ["conv_id", "turn", "role", "text", "call_id", "tool", "arguments", "result_of", "after"]
     rows = pick(messages, *names).withColumn("row", F.monotonically_increasing_id()).withColumn("at", F.coalesce(F.col("turn").cast("long"), F.lit(0)))
     kept = rows.withColumn("faults", F.array().cast("array<string>")).withColumn("json", F.lit(None).cast("string")).drop("text", "arguments")
     rows, _ = written(spark, rows.mapInArrow(_render(tools), kept.schema), "messages")
 
-    key = [F.col("conv_id").isNull().alias("no_conv"), F.coalesce("conv_id", F.lit(0)).alias("conv")]
-    own = F.coalesce("call_id", "result_of")
-    nodes = rows.select("row", *key, own.alias("id"), F.col("call_id").isNotNull().alias("calls"), F.col("result_of").isNotNull().alias("answers"), "after", "at")
-    heads = nodes.where("calls").groupBy(*IDS).agg(F.min(F.struct("at", "row")).alias("head"))
-    answered = nodes.where("answers and not calls").groupBy(*IDS).agg(F.count("*").alias("answers_n"))
-    known = heads.join(answered, IDS, "left").select(*IDS, F.col("head.row").alias("head"), F.coalesce("answers_n", F.lit(0)).alias("results"))
-    told = nodes.where("id is not null").join(known, IDS, "left").select("row", "head", "results")
-
-    first = F.coalesce(F.col("head") == F.col("row"), F.lit(False))
-    nodes = nodes.join(told.select("row", "head"), "row", "left").withColumns(
-        {"calls": F.col("calls") & first, "answers": F.col("answers") & ~F.col("calls"), "after": F.array_distinct("after"), "ready": F.col("at"), "depth": F.lit(0).cast("long"), "moved": F.lit(False), "stuck": F.lit(False)}
-    )
-    order = _ordered(spark, nodes.drop("head"))
-    status = (
-        F.when(F.col("call_id").isNotNull(), F.when(F.col("row") != F.col("head"), "duplicate").when(F.col("results") > 0, "linked").otherwise("open"))
-        .when(F.col("result_of").isNotNull(), F.when(F.col("head").isNotNull(), "linked").otherwise("orphan"))
-        .otherwise("plain")
-    )
-    kind = F.when(F.col("call_id").isNotNull(), "call").when(F.col("result_of").isNotNull(), "result").otherwise("message")
-    out = rows.join(told, "row", "left").join(order, "row")
-    status = F.when(F.col("stuck"), "circular").otherwise(status)
-    return out.select("conv_id", "turn", "role", "call_id", "result_of", kind.alias("kind"), status.alias("status"), "faults", "json", "ready", "depth")
-
-
-IDS = ["no_conv", "conv", "id"]
+    named = F.coalesce("call_id", "result_of")
+    nodes = rows.where(named.isNotNull()).select("row", F.col("conv_id").isNull().alias("no_conv"), F.coalesce("conv_id", F.lit(0)).alias("conv"), named.alias("id"), F.col("call_id").isNotNull().alias("calls"), "after", "at")
+    answers = ~F.col("calls")
+    known = nodes.groupBy(*IDS).agg(F.min(F.when(F.col("calls"), F.struct("at", "row"))).alias("head"), F.count(F.when(answers, 1)).alias("results"), F.max(F.when(answers, F.col("at"))).alias("last"))
+    first = F.coalesce(F.col("head.row") == F.col("row"), F.lit(False))
+    told = nodes.join(known, IDS).select("row", *IDS, "head", "results", F.col("calls").alias("is_call"), (F.col("calls") & first).alias("calls"), (answers & F.col("head").isNotNull()).alias("linked"), answers.alias("answers"), F.array_distinct("after").alias("after"), "at")
+    told, _ = written(spark, told, "linked")
+
+    late = told.where(F.col("linked") & (F.col("head.at") >= F.col("at"))).select(*CONV)
+    waiting = told.where("calls").select(*CONV, "at", F.explode("after").alias("id")).join(known.select(*IDS, F.greatest("head.at", "last").alias("done")), IDS)
+    late, _ = written(spark, late.unionByName(waiting.where("done >= at").select(*CONV)).distinct(), "late")
+    moved = ordered(spark, told.select(*NODE).join(sized(late, late.count()), CONV, "left_semi"), local_rows) if late.limit(1).count() else None
+
+    links = told.select("row", "is_call", "calls", "linked", "results")
+    if moved is None:
+        links = links.withColumns({"ready": F.lit(None).cast("long"), "depth": F.lit(None).cast("long"), "stuck": F.lit(False)})
+    else:
+        links = links.join(moved, "row", "left")
+    call = F.when(~F.col("calls"), "duplicate").when(F.col("results") > 0, "linked").otherwise("open")
+    result = F.when(F.col("linked"), "linked").otherwise("orphan")
+    links = links.select("row", F.when(F.col("is_call"), "call").otherwise("result").alias("kind"), F.when(F.col("stuck"), "circular").when(F.col("is_call"), call).otherwise(result).alias("status"), "ready", "depth")
+    found = rows.where(named.isNotNull()).join(links, "row")
+    plain = rows.where(named.isNull()).withColumns({"kind": F.lit("message"), "status": F.lit("plain"), "ready": F.col("at"), "depth": F.lit(0).cast("long")})
+    out = ["conv_id", "turn", "role", "call_id", "result_of", "kind", "status", "faults", "json", F.coalesce("ready", "at").alias("ready"), F.coalesce("depth", F.lit(0).cast("long")).alias("depth")]
+    return found.select(*out).unionByName(plain.select(*out))
+
+
+def ordered(spark: SparkSession, nodes: DataFrame, local_rows: int = LOCAL_ROWS) -> DataFrame:
+    """(row, ready, depth, stuck) of the nodes of conversations with something late, written."""
+    nodes, _ = written(spark, nodes, "nodes")
+    sizes = nodes.groupBy(*CONV).agg(F.count("*").alias("n"))
+    large = sizes.where(F.col("n") > local_rows).select(*CONV)
+    large, _ = written(spark, large, "large")
+    some = large.count()
+    small = nodes.join(sized(large, some), CONV, "left_anti") if some else nodes
+    out = small.groupBy(*CONV).applyInArrow(_solver, "row long, ready long, depth long, stuck boolean")
+    if some:
+        out = out.unionByName(by_rounds(spark, nodes.join(sized(large, some), CONV, "left_semi")))
+    return written(spark, out, "order")[0]
+
+
+def _solver(group: pa.Table) -> pa.Table:
+    row, ids, calls, answers, after, at = (group.column(n).to_pylist() for n in ("row", "id", "calls", "answers", "after", "at"))
+    ready, depth, stuck = places(ids, calls, answers, after, at)
+    return pa.table({"row": row, "ready": pa.array(ready, pa.int64()), "depth": pa.array(depth, pa.int64()), "stuck": pa.array(stuck, pa.bool_())})
+
+
+def places(ids: list[str], calls: list[bool], answers: list[bool], after: list[list[str] | None], at: list[int]) -> tuple[list[int], list[int], list[bool]]:
+    """ready, depth and stuck of one conversation's rows, in time and memory that are in proportion to
+    them: between a call and all that it comes after stands a node for each identifier."""
+    n = len(ids)
+    number = {x: n + k for k, x in enumerate(dict.fromkeys(ids))}
+    heads = {ids[i]: i for i in range(n) if calls[i]}
+    needs: list[list[int]] = [[] for _ in range(n + len(number))]
+    for i in range(n):
+        if calls[i]:
+            needs[i] = [number[x] for x in after[i] or [] if x in number]
+        elif answers[i] and ids[i] in heads:
+            needs[i] = [heads[ids[i]]]
+        if calls[i] or answers[i]:
+            needs[number[ids[i]]].append(i)
+    needed: list[list[int]] = [[] for _ in needs]
+    for x, own in enumerate(needs):
+        for y in own:
+            needed[y].append(x)
+
+    # What is waited for at any number of steps, the latest first: who is met first by it waits longest.
+    reach: list[int | None] = [None] * len(needs)
+    for y in sorted(range(n), key=lambda i: -at[i]):
+        todo = [] if reach[y] is not None and reach[y] >= at[y] else [y]
+        while todo:
+            for x in needed[todo.pop()]:
+                if reach[x] is None:
+                    reach[x] = at[y]
+                    todo.append(x)
+    moved = [i < n and reach[i] is not None and reach[i] >= at[i] or i >= n for i in range(len(needs))]
+
+    left = [sum(moved[y] for y in own) if moved[x] else 0 for x, own in enumerate(needs)]
+    free = [x for x in range(len(needs)) if moved[x] and not left[x]]
+    for x in free:
+        for z in needed[x]:
+            if moved[z]:
+                left[z] -= 1
+                if not left[z]:
+                    free.append(z)
+    stuck = [moved[x] and left[x] > 0 for x in range(n)]
+
+    # Those who are free wait, among the moved, for the free alone, and these come first.
+    place: list[tuple[int, int]] = [(t, 0) for t in at] + [(-(2**63), 0)] * len(number)
+    for x in free:
+        for y in needs[x]:
+            place[x] = max(place[x], place[y] if x >= n else (place[y][0], place[y][1] + 1))
+    return [place[i][0] if not stuck[i] else at[i] for i in range(n)], [place[i][1] if not stuck[i] else 0 for i in range(n)], stuck
+
+
+def _steps(nodes: DataFrame) -> DataFrame:
+    """(row, at, whole, no_conv, conv, id): a result waits for the head of its identifier, a call for the
+    whole of each identifier it comes after."""
+    answers = nodes.where("answers").select("row", "at", F.lit(False).alias("whole"), *IDS)
+    return answers.unionByName(nodes.where("calls").select("row", "at", F.lit(True).alias("whole"), *CONV, F.explode("after").alias("id")))
+
+
+def _given(steps: DataFrame, nodes: DataFrame, value: str) -> DataFrame:
+    """(row, at, value): the greatest that rows get from the nodes that they wait for."""
+    by_id = nodes.where("calls or answers").groupBy(*IDS).agg(F.max(F.when(F.col("calls"), F.col(value))).alias("head"), F.max(value).alias("whole_id"))
+    got = steps.join(by_id, IDS).select("row", "at", F.when(F.col("whole"), F.col("whole_id")).otherwise(F.col("head")).alias(value))
+    return got.where(F.col(value).isNotNull()).groupBy("row", "at").agg(F.max(value).alias(value))
+
+
+def _spread(spark: SparkSession, nodes: DataFrame, steps: DataFrame, start: DataFrame, value: str, step, above) -> DataFrame | None:
+    """(row, at, value) of the rows that what they wait for gives more than they have, after as many
+    rounds as it takes; each round goes on from what changed in the last. start: nodes with a value."""
+    found, now, old = None, start, []
+    while True:
+        got = _given(steps, now, value).withColumn(value, step(F.col(value))).where(above)
+        if found is not None:
+            had = found.select("row", F.col(value).alias("had"))
+            got = got.join(had, "row", "left").where(F.col("had").isNull() | (F.col(value) > F.col("had"))).drop("had")
+        changed, path = written(spark, got, "changed")
+        if not changed.limit(1).count():
+            return found
+        if found is not None:
+            changed_or_not = found.join(changed.select("row"), "row", "left_anti").unionByName(changed)
+            found, new = written(spark, changed_or_not, "found")
+            for p in old:
+                dropped(spark, p)
+            old = [path, new]
+        else:
+            found, old = changed, [path]
+        now = nodes.join(changed.select("row", value), "row")
+
+
+def by_rounds(spark: SparkSession, nodes: DataFrame) -> DataFrame:
+    """What places() finds, for conversations of any size."""
+    steps, _ = written(spark, _steps(nodes), "steps")
+    reach = _spread(spark, nodes, steps, nodes.withColumn("top", F.col("at")), "top", lambda x: x, F.col("top") >= F.col("at"))
+    none = {"ready": F.col("at"), "depth": F.lit(0).cast("long"), "stuck": F.lit(False)}
+    if reach is None:
+        return nodes.withColumns(none).select("row", "ready", "depth", "stuck")
+    moved, _ = written(spark, nodes.join(reach.select("row"), "row", "left_semi"), "moved")
+    stuck = _circular(spark, moved).withColumn("stuck", F.lit(True))
+    free = nodes.join(stuck, "row", "left_anti")
+    steps, _ = written(spark, steps.join(moved.select("row"), "row", "left_semi").join(stuck, "row", "left_anti"), "steps")
+    place = F.struct(F.col("at").alias("ready"), F.lit(0).cast("long").alias("depth"))
+    found = _spread(spark, free, steps, free.withColumn("place", place), "place", lambda x: F.struct(x["ready"].alias("ready"), (x["depth"] + 1).alias("depth")), F.col("place") > place)
+    out = nodes.select("row", "at").join(stuck, "row", "left")
+    if found is None:
+        out = out.withColumn("place", F.lit(None).cast("struct<ready: long, depth: long>"))
+    else:
+        out = out.join(found.select("row", "place"), "row", "left")
+    return out.select("row", F.coalesce("place.ready", "at").alias("ready"), F.coalesce("place.depth", F.lit(0).cast("long")).alias("depth"), F.coalesce("stuck", F.lit(False)).alias("stuck"))
 
 
 def _waiting(rows: DataFrame, among: DataFrame) -> DataFrame:
-    """(row) of those rows that need one of the rows among: results need the call of their identifier,
-    calls the calls and results of the identifiers they come after."""
+    """(row) of those rows that wait for one of the rows among."""
     heads = among.where("calls").select(*IDS).distinct()
     done = among.where("calls or answers").select(*IDS).distinct()
-    answers = rows.where("answers").join(heads, IDS, "left_semi").select("row")
-    calls = rows.where("calls").select("row", "no_conv", "conv", F.explode("after").alias("id")).join(done, IDS, "left_semi").select("row")
-    return answers.unionByName(calls).distinct()
+    steps = _steps(rows)
+    return steps.where("not whole").join(heads, IDS, "left_semi").unionByName(steps.where("whole").join(done, IDS, "left_semi")).select("row").distinct()
 
 
 def _circular(spark: SparkSession, moved: DataFrame) -> DataFrame:
@@ -188,35 +365,3 @@ def _circular(spark: SparkSession, moved: DataFrame) -> DataFrame:
         rest, path, before, n = less, new, n, less.count()
         if n == before:
             return rest.select("row")
-
-
-def _ordered(spark: SparkSession, nodes: DataFrame) -> DataFrame:
-    """(row, ready, depth, stuck). A row must come, by (ready, depth), after all that it needs; those
-    that don't are moved behind it, until all do. Circles are looked for after 8, 16, 32 ... rounds."""
-    path, rounds, columns = None, 0, nodes.columns
-    while True:
-        place = F.struct("ready", "depth")
-        free = nodes.where("not stuck")
-        heads = free.where("calls").select(*IDS, place.alias("need"))
-        done = free.where("calls or answers").groupBy(*IDS).agg(F.max(place).alias("need"))
-        answers = free.where("answers").select("row", *IDS).join(heads, IDS).select("row", "need")
-        calls = free.where("calls").select("row", "no_conv", "conv", F.explode("after").alias("id")).join(done, IDS).select("row", "need")
-        need = answers.unionByName(calls).groupBy("row").agg(F.max("need").alias("need"))
-        late = need.join(nodes.select("row", place.alias("place")), "row").where(F.col("need") >= F.col("place"))
-        late, late_path = written(spark, late.select("row", F.col("need.ready").alias("r"), (F.col("need.depth") + 1).alias("d")), "late")
-        if not late.count():
-            return nodes.select("row", "ready", "depth", "stuck")
-        rounds += 1
-        after = nodes.drop("ready", "depth", "moved").join(late, "row", "left").join(nodes.select("row", "ready", "depth", "moved"), "row")
-        after = after.withColumns({"ready": F.coalesce("r", "ready"), "depth": F.coalesce("d", "depth"), "moved": F.col("moved") | F.col("r").isNotNull()})
-        if rounds >= 8 and rounds & (rounds - 1) == 0:
-            moved, moved_path = written(spark, after.where("moved").select(*columns), "moved")
-            lost = _circular(spark, moved).withColumn("lost", F.lit(True))
-            after = after.join(lost, "row", "left").withColumn("stuck", F.col("stuck") | F.coalesce("lost", F.lit(False)))
-            after = after.withColumns({"ready": F.when(F.col("stuck"), F.col("at")).otherwise(F.col("ready")), "depth": F.when(F.col("stuck"), 0).otherwise(F.col("depth")).cast("long"), "moved": F.col("moved") & ~F.col("stuck")})
-        else:
-            moved_path = None
-        nodes, new = written(spark, after.select(*columns), "order")
-        for old in filter(None, (path, late_path, moved_path)):
-            dropped(spark, old)
-        path = new

@@ -145,25 +145,45 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.counted(spark, table(spark, sf_dir, "documents"), tokens.vocabulary())
 
 
-#: How conversations are read as calls: a user's turn asks the tool, the turn after it is the result.
-REPLY = {"type": "object", "required": ["prompt", "turn"], "properties": {"prompt": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}}, "additionalProperties": False}
+#: How conversations are read as calls: a user's turn calls the tool, the turn after it is the result,
+#: and a call waits for the call two turns before it. In one conversation of four, by number, it waits for
+#: the call two turns later; in another, the calls of the first two turns do, which makes a circle. In one
+#: of five, calls from turn 4 on have the identifier of the call four turns before.
+REPLY = {"type": "object", "required": ["prompt", "turn"], "properties": {"prompt": {"type": "string", "minLength": 1, "maxLength": 400}, "turn": {"type": "integer", "minimum": 0, "maximum": 5}}, "additionalProperties": False}
 
 OP4_SQL = """
-WITH m AS (SELECT *, conv_id || '/' || turn AS own, conv_id || '/' || (turn - 1) AS earlier FROM conversations)
-SELECT a.conv_id, a.turn, a.role,
-       CASE a.role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
-       CASE a.role WHEN 'user' THEN CASE WHEN r.own IS NULL THEN 'open' ELSE 'linked' END
-                   WHEN 'assistant' THEN CASE WHEN c.own IS NULL THEN 'orphan' ELSE 'linked' END ELSE 'plain' END AS status,
-       CASE WHEN a.role <> 'user' THEN '' WHEN a.text IS NULL THEN '$.prompt: missing' WHEN a.text = '' THEN '$.prompt: minLength' ELSE '' END AS faults,
-       a.turn AS ready, CAST(0 AS BIGINT) AS depth,
-       CASE a.role
-         WHEN 'user' THEN '{"arguments":{' || CASE WHEN a.text IS NULL THEN '' ELSE '"prompt":' || CAST(to_json(a.text) AS VARCHAR) || ',' END
-              || '"turn":' || a.turn || '},"id":"' || a.own || '","name":"reply","role":"user","type":"tool_call"}'
-         WHEN 'assistant' THEN '{"call_id":"' || a.earlier || '","content":' || coalesce(CAST(to_json(a.text) AS VARCHAR), 'null') || ',"role":"assistant","type":"tool_result"}'
-         ELSE '{"content":' || coalesce(CAST(to_json(a.text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(a.role) AS VARCHAR), 'null') || ',"type":"message"}' END AS json
-FROM m a
-LEFT JOIN m r ON a.role = 'user' AND r.role = 'assistant' AND r.earlier = a.own
-LEFT JOIN m c ON a.role = 'assistant' AND c.role = 'user' AND c.own = a.earlier
+WITH RECURSIVE m AS (
+  SELECT row_number() OVER () AS r, *, role = 'user' AS calls, role = 'assistant' AS answers,
+         CASE role WHEN 'user' THEN conv_id || '/' || CASE WHEN conv_id % 5 = 0 AND turn >= 4 THEN turn - 4 ELSE turn END
+                   WHEN 'assistant' THEN conv_id || '/' || (turn - 1) END AS id,
+         CASE WHEN role = 'user' THEN
+           CASE WHEN conv_id % 4 = 2 OR (conv_id % 4 = 3 AND turn < 2) THEN conv_id || '/' || (turn + 2) WHEN turn >= 2 THEN conv_id || '/' || (turn - 2) END END AS after
+  FROM conversations),
+heads AS (SELECT conv_id, id, arg_min(r, turn) AS head FROM m WHERE calls GROUP BY ALL),
+-- a result waits for the first call of its identifier, that for all that is named by what it comes after
+e AS (SELECT x.r AS x, head AS y FROM m x JOIN heads h USING (conv_id, id) WHERE x.answers
+      UNION ALL SELECT x.r, y.r FROM heads h JOIN m x ON x.r = head JOIN m y ON y.conv_id = x.conv_id AND y.id = x.after AND (y.answers OR y.r IN (SELECT head FROM heads))),
+reach AS (SELECT x, y FROM e UNION SELECT a.x, e.y FROM reach a JOIN e ON a.y = e.x),
+moved AS (SELECT DISTINCT x FROM reach JOIN m a ON a.r = x JOIN m b ON b.r = y WHERE b.turn >= a.turn),
+em AS (SELECT x, y FROM e WHERE x IN (SELECT x FROM moved) AND y IN (SELECT x FROM moved)),
+round AS (SELECT x, y FROM em UNION SELECT a.x, em.y FROM round a JOIN em ON a.y = em.x),
+stuck AS (SELECT DISTINCT x FROM round WHERE y IN (SELECT x FROM round WHERE x = y)),
+paths AS (SELECT x, y, 1 AS k FROM e WHERE x NOT IN (SELECT x FROM stuck) AND y NOT IN (SELECT x FROM stuck)
+          UNION SELECT p.x, e.y, p.k + 1 FROM paths p JOIN e ON p.y = e.x AND e.y NOT IN (SELECT x FROM stuck)),
+far AS (SELECT x AS r, max([turn, k]) AS place FROM paths JOIN m ON m.r = y GROUP BY 1),
+n AS (SELECT conv_id, id, count(*) AS results FROM m WHERE answers GROUP BY ALL)
+SELECT conv_id, turn, role, CASE WHEN calls THEN 'call' WHEN answers THEN 'result' ELSE 'message' END AS kind,
+       CASE WHEN r IN (SELECT x FROM stuck) THEN 'circular'
+            WHEN calls THEN CASE WHEN head <> r THEN 'duplicate' WHEN results IS NULL THEN 'open' ELSE 'linked' END
+            WHEN answers THEN CASE WHEN head IS NULL THEN 'orphan' ELSE 'linked' END ELSE 'plain' END AS status,
+       CASE WHEN calls THEN concat_ws('; ', CASE WHEN text IS NULL THEN '$.prompt: missing' WHEN text = '' THEN '$.prompt: minLength' WHEN length(text) > 400 THEN '$.prompt: maxLength' END,
+                                      CASE WHEN turn > 5 THEN '$.turn: above maximum' END) ELSE '' END AS faults,
+       greatest(place, [turn, 0])[1] AS ready, greatest(place, [turn, 0])[2] AS depth,
+       CASE WHEN calls THEN '{"arguments":{' || CASE WHEN text IS NULL THEN '' ELSE '"prompt":' || CAST(to_json(text) AS VARCHAR) || ',' END
+              || '"turn":' || turn || '},"id":"' || id || '","name":"reply","role":"user","type":"tool_call"}'
+            WHEN answers THEN '{"call_id":"' || id || '","content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":"assistant","type":"tool_result"}'
+            ELSE '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || ',"type":"message"}' END AS json
+FROM m LEFT JOIN heads h USING (conv_id, id) LEFT JOIN n USING (conv_id, id) LEFT JOIN far USING (r)
 """
 
 
@@ -173,17 +193,18 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.concat_ws("/", F.col("conv_id").cast("string"), turn.cast("string"))
 
     rows = pick(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
-    user, assistant, turn = F.col("role") == "user", F.col("role") == "assistant", F.col("turn")
+    user, assistant, turn, conv = F.col("role") == "user", F.col("role") == "assistant", F.col("turn"), F.col("conv_id")
+    later = (conv % 4 == 2) | ((conv % 4 == 3) & (turn < 2))
     messages = rows.select(
         "conv_id",
         "turn",
         "role",
         "text",
-        F.when(user, name(turn)).alias("call_id"),
+        F.when(user, name(F.when((conv % 5 == 0) & (turn >= 4), turn - 4).otherwise(turn))).alias("call_id"),
         F.when(user, F.lit("reply")).alias("tool"),
         F.when(user, F.to_json(F.struct(F.col("text").alias("prompt"), "turn"))).alias("arguments"),
         F.when(assistant, name(turn - 1)).alias("result_of"),
-        F.when(user & (turn >= 2), F.array(name(turn - 2))).alias("after"),
+        F.when(user & later, F.array(name(turn + 2))).when(user & (turn >= 2), F.array(name(turn - 2))).alias("after"),
     )
     found = chat.linked(spark, messages, {"reply": REPLY})
     return found.select("conv_id", "turn", "role", "kind", "status", F.array_join("faults", "; ").alias("faults"), "ready", "depth", "json")

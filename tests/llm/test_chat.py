@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -76,7 +77,19 @@ def test_one_conversation_with_most_rows(spark):
         ("{", "f", ["arguments are no JSON"]),
         ('{"x": NaN}', "f", ["arguments are no JSON"]),
         (None, "f", ["arguments are no JSON"]),
-        ("[" * 5000, "f", ["arguments are no JSON"]),
+        ("[" * 500_000, "f", ["arguments nest too deep"]),
+        ("[" * 1200 + "]" * 1200, "f", ["arguments nest too deep"]),
+        ('{"x":' * 1200 + "1" + "}" * 1200, "g", ["arguments nest too deep"]),
+        ("[" * 201 + "]" * 201, "g", ["arguments nest too deep"]),
+        ("[" * 200 + "1" + "]" * 200, "f", ["$: not object"]),
+        ('{"x":' + '{"y":' * 199 + "1" + "}" * 200, "f", ["$.x: not integer"]),
+        ('{"x": 1e400}', "f", ["arguments hold a number beyond a double"]),
+        ('{"y": -1e400, "x": 1}', "f", ["arguments hold a number beyond a double"]),
+        ("[1e400]", "f", ["arguments hold a number beyond a double"]),
+        ('{"x": 1' + "0" * 400 + "}", "f", ["arguments hold a number beyond a double"]),
+        ("9" * 100_000, "f", ["arguments hold a number beyond a double"]),
+        ('{"x": -1' + "0" * 300 + "}", "f", []),
+        ('{"x": 1e-400}', "f", []),
         ("{}", "g", ["no such tool"]),
         ("{}", None, ["no such tool"]),
     ],
@@ -87,6 +100,68 @@ def test_validation(spark, arguments, tool, wrong):
     json.loads(got[0].json)
 
 
+def brute(rows):
+    """(ready, depth, circular) by the definitions: closures of who waits for whom, and longest ways."""
+    n = len(rows)
+    heads, results = {}, {}
+    for i, (kind, name, _, t) in enumerate(rows):
+        if kind == "call" and (name not in heads or (rows[heads[name]][3], heads[name]) > (t, i)):
+            heads[name] = i
+        elif kind == "result":
+            results.setdefault(name, []).append(i)
+    needs = [set() for _ in rows]
+    for i, (kind, name, after, _) in enumerate(rows):
+        if kind == "result" and name in heads:
+            needs[i] = {heads[name]}
+        elif kind == "call" and heads[name] == i:
+            needs[i] = {y for x in after for y in [*([heads[x]] if x in heads else []), *results.get(x, [])]}
+
+    def closed(edges):
+        reach = [set(x) for x in edges]
+        for k in range(n):
+            for x in reach:
+                if k in x:
+                    x |= reach[k]
+        return reach
+
+    at = [r[3] for r in rows]
+    moved = [any(at[y] >= at[x] for y in own) for x, own in enumerate(closed(needs))]
+    ways = closed([{y for y in own if moved[y]} if moved[x] else set() for x, own in enumerate(needs)])
+    stuck = [x in ways[x] or any(y in ways[y] for y in ways[x]) for x in range(n)]
+    place = [(t, 0) for t in at]
+    for _ in range(n):
+        for x in range(n):
+            if not stuck[x]:
+                place[x] = max([place[x], *((place[y][0], place[y][1] + 1) for y in needs[x] if not stuck[y])])
+    return [(*p, z) for p, z in zip(place, stuck, strict=True)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_orders_of_any_size_against_brute_force(spark, seed):
+    """In one task, and by rounds of joins."""
+    rng = random.Random(seed)
+    many, out = {}, []
+    for conv in range(12):
+        names, rows = [f"c{k}" for k in range(rng.choice([2, 4, 9]))], []
+        for _ in range(rng.choice([3, 8, 25])):
+            kind = rng.choice(["call", "call", "result"])
+            rows.append((kind, rng.choice(names), [rng.choice([*names, "none"]) for _ in range(rng.choice([0, 1, 1, 2]))], len(rows) // rng.choice([1, 1, 2])))
+        many[conv] = rows
+        out += [call(conv, t, name, after) if kind == "call" else result(conv, t, name) for kind, name, after, t in rows]
+    df = spark.createDataFrame(out, SCHEMA).coalesce(1)  # rows of one turn come as they are listed
+    want = sorted((conv, r[3], r[1], *b[:2], b[2]) for conv, rows in many.items() for r, b in zip(rows, brute(rows), strict=True))
+    assert any(x[5] for x in want) and any(x[4] for x in want)
+    for local in (10**6, 5, 0):
+        got = chat.linked(spark, df, TOOLS, local).collect()
+        assert sorted((r.conv_id, r.turn, r.call_id or r.result_of, r.ready, r.depth, r.status == "circular") for r in got) == want
+
+
+def test_a_long_chain_of_late_calls(spark):
+    n = 20_000
+    got = linked(spark, [call(1, i, f"c{i}", [f"c{i + 1}"]) for i in range(n)])
+    assert [r.turn for r in got] == list(reversed(range(n))) and [r.depth for r in got] == list(range(n))
+
+
 def test_schema_words():
     s = {"type": ["array", "null"], "minItems": 1, "maxItems": 2, "items": {"type": "string", "minLength": 2, "maxLength": 3, "enum": ["ab", "abc", "x"]}}
     assert chat.faults(None, s) == [] and chat.faults(["ab"], s) == []

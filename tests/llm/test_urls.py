@@ -1,4 +1,8 @@
+import functools
 import itertools
+import math
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,35 +48,133 @@ def test_viterbi_against_all_splits():
     assert words.split("thepenisland") == ["the", "pen", "island"]
 
 
-def test_word_counts_cover_whole_texts(spark):
-    df = spark.createDataFrame([("The cat the CAT " * 30_000 + "zebra",), (None,), ("",), ("x y1 é",)], "text string")
-    assert {r.word: r.n for r in urls.word_counts(df).collect()} == {"the": 60_000, "cat": 60_000, "zebra": 1}
-
-
-@pytest.mark.parametrize("limit, kept", [(0, []), (1, ["a"]), (2, ["a"]), (3, ["a", "b", "c"]), (9, ["a", "b", "c", "d"])])
-def test_most_keeps_whole_ties(spark, limit, kept):
-    df = spark.createDataFrame([("a", 9), ("b", 5), ("c", 5), ("d", 1)], "word string, n long")
-    assert sorted(r.word for r in urls.most(spark, df, "n", limit)) == kept
-    assert urls.most(spark, df.limit(0), "n", limit) == []
+def test_ties_take_the_shorter_last_word():
+    words = urls.Words({"ab": -3.0, "c": -2.0, "a": -2.0, "bc": -3.0}, 10)
+    assert words.split("abc") == ["ab", "c"]
 
 
-def test_bayes_against_counting(spark):
-    words = urls.Words({w: -2.0 for w in ("spam", "farm", "good", "site", "en", "farm")}, 100)
-    rows = [("spamfarm.org", "/en/1")] * 3 + [("goodsite.org", "/en/2")] * 9 + [("farm.org", "/x")]
-    model = urls.learn_bayes(spark, spark.createDataFrame(rows, "host string, path string"), words)
-    assert model.blocks(["h:spam", "h:farm"]) > 0 > model.blocks(["h:good", "h:site"])
-    assert model.odds["h:farm"] > 0 and abs(model.odds["p:#"]) < 2
-
-
-def test_unwanted_hosts_are_blocked_and_clean_ones_not(spark, data):
-    got = queries.QUERIES["op7_url_filter"](spark, "/root/testdata/sf0.01").where("rule is null").collect()
-    bad = [r for r in got if any(w in r.host for w in ("spam-farm", "casino-win", "cheap-pills", "free-bets", "ads-track", "adult-x"))]
-    clean = [r for r in got if r not in bad]
-    assert bad and all(r.verdict == "block" for r in bad)
-    assert sum(r.verdict == "allow" for r in clean) >= 0.97 * len(clean)
+def test_word_counts_cover_whole_texts(spark):
+    df = spark.createDataFrame([("The cat the CAT " * 30_000 + "zebra",), (None,), ("",), ("xx y1 \u00e9\u00e9z",)], "html string")
+    assert {r.word: r.n for r in urls.word_counts(df).collect()} == {"the": 60_000, "cat": 60_000, "zebra": 1, "xx": 1}
+
+
+def test_mark_up_and_addresses_are_no_text():
+    page = b"<title>Good</title><!-- no --><a href='http://hidden.net/'>link</a><SCRIPT>var no=1;</script><p>see www.cheappills.com, a@b.org or x://y/z.&nbsp;End.<style>no{}"
+    assert urls.visible_words(page) == [b"good", b"link", b"see", b"or", b"end"]
+    assert urls.visible_words(None) == [] and urls.visible_words(b"<!-- never closed " + b"<!--" * 100_000) == []
+
+
+PAGES = [
+    ("http://cheappillsonline.net/buy/now", "cheap pills online"),
+    ("http://pills-online.net/de/buy", "online shop"),
+    ("http://onlinecheap.example.com/de/", None),
+    ("http://goodbooks.org/fr/read/1", "good books to read online"),
+    ("http://readgoodbooks.org/fr/", "read good books"),
+    ("http://goodread.example.net/en/x", "good"),
+    ("http://cheappills.org/en/buy", "pills"),
+    ("http://spamgoodbooks.org/en/read", "books"),
+    ("http://unknownzzz.com/q\u00e9", ""),
+    ("http://goodbooks.org/xx", "books"),
+    ("http://" + "a" * 5000 + ".com/" + "b1" * 3000, "x" * 3000),
+    (None, None),
+    ("no scheme", "good good good"),
+]
+
+
+def brute_judge(pages):
+    """The whole method on dictionaries; every split of a name is looked at by recursion."""
+    texts = [re.sub(r"<[^>]*>", " ", h or "").lower().split() for _, h in pages]
+    counts = Counter(w for t in texts for w in t if len(w) > 1)
+    seeds = urls.UNWANTED + urls.WANTED
+    total = sum(counts.values())
+    more = max(20, total // 50 // len(seeds))
+    for w in seeds:
+        counts[w] += more
+    total += more * len(seeds)
+
+    @functools.cache
+    def best(name):
+        if not name:
+            return 0.0, ()
+        ways = []
+        for k in range(len(name)):
+            score, front = best(name[:k])
+            word = name[k:]
+            ways.append((score + (math.log(counts[word] / total) if counts[word] and len(word) > 1 else -math.log(total + 2) - 2.5 * len(word)), k, (*front, word)))
+        top = max(ways, key=lambda x: (round(x[0], 9), x[1]))
+        return top[0], top[2]
+
+    def tokens(host, path):
+        out = []
+        front = host.rsplit(".", 1)[0] or host if "." in host else host
+        for kind, text in (("h", front), ("p", path.translate({c: c + 32 for c in range(65, 91)}))):
+            for p in re.findall(r"[a-z]+|[0-9]+|[^\x00-\x7f]+", text):
+                found = best(p)[1] if re.fullmatch(r"[a-z]{2,63}", p) else ["#" if p[0] in "0123456789" else p]
+                out += [f"{kind}:{w}" for w in found]
+        return out
+
+    rows = [(*brute(u), ) for u, _ in pages]
+    seen = {"block": Counter(), "allow": Counter()}
+    urls_by = Counter(r[3] for r in rows)
+    for host, path, _, ruled in rows:
+        if ruled:
+            seen[ruled].update(tokens(host, path))
+    sums = {side: sum(c.values()) for side, c in seen.items()}
+    prior = math.log(urls_by["block"] + 1) - math.log(urls_by["allow"] + 1)
+    for side, words in (("block", urls.UNWANTED), ("allow", urls.WANTED)):
+        for w in words:
+            seen[side][f"h:{w}"] += max(20, sums[side] // 50)
+    kinds = len(set(seen["block"]) | set(seen["allow"]))
+
+    def odds(t):
+        if t not in seen["block"] and t not in seen["allow"]:
+            return 0.0
+        return math.log((seen["block"][t] + 1) / (sums["block"] + kinds)) - math.log((seen["allow"][t] + 1) / (sums["allow"] + kinds))
+
+    out = []
+    for host, path, rule, ruled in rows:
+        found = tokens(host, path)
+        score = prior + sum(map(odds, found))
+        out.append((host, path, rule, ruled or ("block" if score > 0 else "allow"), score, found))
+    return out
+
+
+def test_verdicts_against_brute_force(spark):
+    pages = PAGES * 3
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], SCHEMA).repartition(3)
+    got = sorted(urls.judge(spark, df).collect(), key=lambda r: r.page_id)
+    want = brute_judge(pages)
+    assert [(r.host, r.path, r.rule, r.verdict, r.words) for r in got] == [(h, p, rule, v, w) for h, p, rule, v, _, w in want]
+    assert all(abs(r.log_odds - x[4]) <= (1 + len(r.words)) / urls.UNIT for r, x in zip(got, want, strict=True))
+    by = {r.host: r for r in got}
+    assert by["cheappillsonline.net"].words[:3] == ["h:cheap", "h:pills", "h:online"] and by["readgoodbooks.org"].words[:3] == ["h:read", "h:good", "h:books"]
+    # What was learned decides, with the listed words and against them.
+    assert by["cheappills.org"].verdict == "block" and by["spamgoodbooks.org"].verdict == "allow"
+    assert by["onlinecheap.example.com"].verdict == "block"
+
+
+def test_nothing_labelled(spark):
+    df = spark.createDataFrame([(1, "http://a.com/", "x y"), (2, "http://spam.com/", None), (3, None, None)], SCHEMA)
+    assert {r.page_id: r.verdict for r in urls.judge(spark, df).collect()} == {1: "allow", 2: "block", 3: "allow"}
+
+
+def test_held_out_hosts(spark):
+    """Hosts that nothing was learned from are mostly judged as the rules judge them, unlike a coin."""
+    n, right = urls.held_out(spark, spark.read.parquet("/root/testdata/sf0.1/pages.parquet"))
+    assert n > 150 and right >= 0.75 * n
+
+
+def test_clean_pages_are_allowed_and_unwanted_hosts_mostly_not(spark):
+    """English pages, which the rules allow where they judge them; the list alone decides neither."""
+    got = queries.QUERIES["op7_url_filter"](spark, "/root/testdata/sf0.1").where("rule is null").collect()
+    listed = [r for r in got if not {f"h:{w}" for w in urls.UNWANTED}.isdisjoint(r.words.split())]
+    clean = [r for r in got if r not in listed and r.path.startswith("/en/")]
+    assert sum(r.verdict == "allow" for r in clean) >= 0.99 * len(clean) and len(clean) > 500
+    assert {r.verdict for r in listed} == {"allow", "block"} == {r.verdict for r in got if r not in listed}
+    assert sum(r.verdict == "block" for r in listed) > 0.6 * len(listed)
 
 
 def test_empty_and_clashing(spark):
     assert urls.judge(spark, spark.createDataFrame([], SCHEMA)).collect() == []
-    df = spark.createDataFrame([(1, "http://a.net/", "x y z")], SCHEMA).withColumns({"host": F.lit(1), "path": F.lit(2), "rule": F.lit(3), "words": F.lit(4)})
+    df = spark.createDataFrame([(1, "http://a.net/", "x y z", 1, 2, 3, 4, "http://b.org/")], f"{SCHEMA}, host long, path long, rule long, words long, URL string")
     assert [(r.host, r.rule) for r in urls.judge(spark, df).collect()] == [("a.net", "net/")]
