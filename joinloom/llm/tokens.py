@@ -9,6 +9,7 @@ from __future__ import annotations
 import base64
 import functools
 import math
+import re
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -25,17 +26,47 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 VOCABULARY_BYTES = 32_000_000
 #: How the vocabulary's tokenizer cuts text into pieces. A fixed value.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: What its \s is, and the white space that is cut out before the pattern sees it, whose steps back would
+#: go too deep. A fixed value.
+SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{20000,}")
 END = 50256
-DTYPE = "<u2"
 BLOCK_TOKENS = 1 << 20
 #: Blocks whose summaries are scanned together; their sums are scanned in turn.
 SCAN_BLOCKS = 1024
 
 
+def _known(ranks: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+
+
 @functools.lru_cache(2)
 def _encoding(ranks: bytes) -> tiktoken.Encoding:
-    known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=known, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=_known(ranks), special_tokens={})
+
+
+def encoded(encoding: tiktoken.Encoding, text: str) -> list[int]:
+    """The text's ids. A long run of white space is one piece of the pattern up to its last character, which
+    goes with what follows, or up to its end where the text ends; no other piece reaches into it. So
+    it can be cut out."""
+    out, at = [], 0
+    for run in SPACES.finditer(text):
+        begin, end = run.span()
+        end -= end < len(text)
+        out += encoding.encode_ordinary(text[at:begin])
+        out += encoding._core_bpe.encode_single_piece(text[begin:end].encode())
+        at = end
+    return out + encoding.encode_ordinary(text[at:]) if at else encoding.encode_ordinary(text)
+
+
+def width_of(ranks: bytes, end: int) -> str:
+    """The narrowest type of a token file that holds all ids of a vocabulary and the end id."""
+    ids = set(_known(ranks).values())
+    if end in ids:
+        raise ValueError(f"the end id {end} is an id of the vocabulary")
+    most = max({end, *ids})
+    if most >= 1 << 32:
+        raise ValueError(f"the id {most} is beyond four bytes")
+    return "<u2" if most < 1 << 16 else "<u4"
 
 
 def vocabulary(path: str = VOCABULARY) -> bytes:
@@ -57,7 +88,7 @@ def _writer(folder: str, ranks: bytes, end: int, dtype: str) -> Callable[[Iterat
         part = TaskContext.get()
         name = f"part-{part.partitionId():06d}.tokens"
         tried = f"{at}/_{name}-{part.taskAttemptId()}"
-        encode, stop, n = _encoding(ranks).encode_ordinary, np.array([end], dtype).tobytes(), 0
+        encode, stop, n = functools.partial(encoded, _encoding(ranks)), np.array([end], dtype).tobytes(), 0
         with fs.open_output_stream(tried, compression=None) as out:
             for batch in batches:
                 for text in batch.column(1).to_pylist():
@@ -75,10 +106,11 @@ def _writer(folder: str, ranks: bytes, end: int, dtype: str) -> Callable[[Iterat
     return write
 
 
-def token_files(spark: SparkSession, documents: DataFrame, ranks: bytes, folder: str | None = None, end: int = END, dtype: str = DTYPE) -> tuple[str, DataFrame]:
+def token_files(spark: SparkSession, documents: DataFrame, ranks: bytes, folder: str | None = None, end: int = END, dtype: str | None = None) -> tuple[str, DataFrame]:
     """Writes the documents' texts as token files in a folder, by default a new one in the shared
-    folder; returns it and (file, ordinal, doc_id). A null or empty text is an end id alone."""
-    folder = folder or fresh_path(spark, "tokens")
+    folder; returns it and (file, ordinal, doc_id). dtype: width_of() the vocabulary unless given.
+    A null or empty text is an end id alone; texts may have any length and hold runs of any length."""
+    folder, dtype = folder or fresh_path(spark, "tokens"), dtype or width_of(ranks, end)
     docs = pick(documents, "doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     names, _ = written(spark, docs.mapInArrow(_writer(folder, ranks, end, dtype), f"file string, ordinal long, doc_id {kind}"), "token-names")
@@ -104,7 +136,7 @@ def _searcher(folder: str, end: int, dtype: str, block: int) -> Callable[[Iterat
     return search
 
 
-def scan(spark: SparkSession, folder: str, end: int = END, dtype: str = DTYPE, block: int = BLOCK_TOKENS, scan_blocks: int = SCAN_BLOCKS) -> DataFrame:
+def scan(spark: SparkSession, folder: str, end: int = END, dtype: str = "<u2", block: int = BLOCK_TOKENS, scan_blocks: int = SCAN_BLOCKS) -> DataFrame:
     """The documents of all token files in a folder: (file, ordinal long, start long, n_tokens long), in
     tokens and without the end ids. What follows a file's last end id is a document, too.
 
@@ -140,11 +172,13 @@ def scan(spark: SparkSession, folder: str, end: int = END, dtype: str = DTYPE, b
     return closed.unionByName(tail.select("file", "ordinal", "start", (F.col("stop") - F.col("start")).alias("n_tokens")))
 
 
-def counted(spark: SparkSession, documents: DataFrame, ranks: bytes) -> DataFrame:
+def counted(spark: SparkSession, documents: DataFrame, ranks: bytes, end: int = END) -> DataFrame:
     """(doc_id, n_tokens long), a row for each document row: written as token files and counted by the
-    scan, after which the files are deleted. Null and empty texts have none. No rows: no rows. Other
-    columns are ignored."""
-    folder, names = token_files(spark, documents, ranks)
-    counts = scan(spark, folder)  # has read the files by now; what is left works on their separators
+    scan, after which the files are deleted. Null and empty texts have none, very long ones, also of
+    blanks alone, count whole; a row for each of repeated rows. No rows: no rows. Other columns are
+    ignored."""
+    dtype = width_of(ranks, end)
+    folder, names = token_files(spark, documents, ranks, end=end, dtype=dtype)
+    counts = scan(spark, folder, end, dtype)  # has read the files by now; what is left works on their separators
     dropped(spark, folder)
     return names.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")

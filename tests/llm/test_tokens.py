@@ -1,3 +1,6 @@
+import base64
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -58,6 +61,42 @@ def test_counts_are_those_of_the_tokenizer(spark, data):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+@pytest.mark.parametrize("run", [" ", "\n", "\t ", "\u3000\xa0", "a", "7", "!", "é", "\x1f"])
+@pytest.mark.parametrize("around", [("", ""), ("word", ""), ("", "word"), ("one 2", " two"), ("don't", "'s"), ("!", "!"), ("x ", " y" + " " * 30_000 + "z")])
+def test_long_runs_are_cut_where_the_pattern_cuts(run, around, monkeypatch):
+    """Against the tokenizer itself, at a length that it takes."""
+    encoding = tokens._encoding(tokens.vocabulary())
+    text = around[0] + run * (50_000 // len(run)) + around[1]
+    assert tokens.encoded(encoding, text) == encoding.encode_ordinary(text)
+    monkeypatch.setattr(tokens, "SPACES", re.compile(tokens.SPACES.pattern.replace("20000", "2")))
+    for short in (text[-200:], f"{around[0]}{run * 3}{around[1]}{run}a  b \n\n c{run * 2}"):
+        assert tokens.encoded(encoding, short) == encoding.encode_ordinary(short)
+
+
+def test_runs_that_the_tokenizer_cannot_take(spark):
+    """A million characters of one kind. Beyond what the tokenizer takes, n blanks and a word are the piece of
+    n - 1 blanks, and the word with the last of them."""
+    ranks = tokens.vocabulary()
+    encoding = tokens._encoding(ranks)
+    n = 1_000_000
+    rows = [(1, " " * n), (2, " " * n + "word"), (3, "\n" * n), (4, "a" * n), (5, "7" * n), (6, "x" + "\t" * n)]
+    got = dict(map(tuple, tokens.counted(spark, spark.createDataFrame(rows, SCHEMA).repartition(4), ranks).collect()))
+    piece = lambda text: len(encoding._core_bpe.encode_single_piece(text.encode()))
+    assert got == {1: piece(" " * n), 2: piece(" " * (n - 1)) + piece(" word"), 3: piece("\n" * n), 4: piece("a" * n), 5: piece("7" * n), 6: piece("x") + piece("\t" * n)}
+
+
+def test_wide_vocabularies(spark):
+    one = b"\n".join(base64.b64encode(bytes([k])) + b" %d" % k for k in range(256))
+    assert tokens.width_of(one, 256) == "<u2"
+    with pytest.raises(ValueError, match="end id"):
+        tokens.width_of(one, 7)
+    wide = one + b"\n" + base64.b64encode(b"ab") + b" 70000"
+    assert tokens.width_of(wide, 256) == tokens.width_of(one, 70000) == "<u4"
+    with pytest.raises(ValueError, match="four bytes"):
+        tokens.width_of(one, 1 << 32)
+    assert tokens.counted(spark, spark.createDataFrame([(1, "abc")], SCHEMA), wide, 256).first().n_tokens == 2
+
+
 def test_odd_rows(spark):
     ranks = tokens.vocabulary()
     encode = tokens._encoding(ranks).encode_ordinary
