@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joinloom.storage import dropped, file_system, fresh_path, importable, shared_dir, written
+from joinloom.storage import dropped, file_system, fresh_path, importable, scratch, shared_dir, written
 
-__all__ = ["LOWER_ASCII", "dropped", "file_system", "fresh_path", "importable", "pick", "place_of", "positional", "raw_texts", "shared_dir", "sized", "table", "whole_groups", "written"]
+__all__ = ["LOWER_ASCII", "dropped", "file_system", "fresh_path", "importable", "pick", "place_of", "positional", "raw_texts", "scratch", "shared_dir", "sized", "table", "whole_groups", "written"]
 
 UPPER = bytes(range(65, 91))
 LOWER_ASCII = bytes.maketrans(UPPER, UPPER.lower())

@@ -100,7 +100,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("base", lambda s: s["kind"] == secrets.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
 
     digest = F.sha2(told(base).cast("binary"), 256).alias("base_sha256")
-    return found.select("doc_id", count("assign"), count("access"), count("hex"), digest, told(F.concat(base, live)).alias("spans"), F.size("live").cast("long").alias("n_live"))
+    numbers = F.transform("judged", lambda s: F.concat_ws(":", *(s[n].cast("string") for n in ("start", "end", "owners", "repositories"))))
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), digest, told(F.concat(base, live)).alias("spans"), F.size("live").cast("long").alias("n_live"), F.array_join(numbers, ",").alias("ownership"))
 
 
 OP5_SQL = """

@@ -9,14 +9,15 @@ from math import log2
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joinloom.llm.common import LOWER_ASCII, pick, raw_texts, written
+from joinloom.llm.common import LOWER_ASCII, pick, place_of, positional, raw_texts, written
 
 KINDS = ("assign", "access", "hex", "live")
-#: A value that as many distinct owners have is a widely copied example.
-SHARED_OWNERS = 3
+#: A value that as many distinct owners have, or as many distinct repositories, whosever they are, is a
+#: widely copied example.
+SHARED_OWNERS, SHARED_REPOSITORIES = 3, 20
 #: Bits a character that a live-looking value has at least.
 LEAST_BITS = 2.5
 #: Words in values that people write as stand-ins. Fixed values.
@@ -80,67 +81,85 @@ def _scan(at: int):
     return scan
 
 
-def ownership(found: DataFrame, shared: int = SHARED_OWNERS) -> DataFrame:
+def ownership(found: DataFrame, owners: int = SHARED_OWNERS, repositories: int = SHARED_REPOSITORIES) -> DataFrame:
     """found(row, owner, repository, found) to (value, owners, repositories, copied): by value the
-    numbers of distinct owners and repositories, and whether it is a widely copied example.
-    Duplicates are merged before the shuffles, so a value in a third of all rows is no hot key."""
+    numbers of distinct owners and repositories, and whether either makes it a widely copied example.
+    Duplicates are merged before the shuffles, so a value in a third of all rows is no hot key. A
+    repository is its owner's: of two owners, repositories of one name are two. Null owners are one
+    owner, null repositories none."""
     each = found.select(F.explode("found").alias("c"), "owner", "repository").select("c.value", "owner", "repository")
-    repositories = each.distinct()
-    by_owner = repositories.groupBy("value", "owner").agg(F.count("repository").alias("n"))
+    by_owner = each.distinct().groupBy("value", "owner").agg(F.count("repository").alias("n"))
     counts = by_owner.groupBy("value").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
-    return counts.withColumn("copied", F.col("owners") >= shared)
+    return counts.withColumn("copied", (F.col("owners") >= owners) | (F.col("repositories") >= repositories))
 
 
-def judged(rows: DataFrame, shared: int) -> DataFrame:
-    """rows(row, owner, repository, found), only those with candidates, to (row, live): the distinct
-    value spans that look live and that fewer than `shared` owners have."""
-    spans = rows.select("row", F.explode("found").alias("c")).where("c.looks").select("row", "c.vstart", "c.vend", "c.value")
-    own = ownership(rows, shared).where("not copied").select("value")
-    return spans.join(own, "value").groupBy("row").agg(F.array_sort(F.collect_set(F.struct(F.col("vstart").alias("start"), F.col("vend").alias("end")))).alias("live"))
+JUDGED = "array<struct<start: long, end: long, owners: long, repositories: long, copied: boolean>>"
 
 
-def scan(spark: SparkSession, documents: DataFrame, owner: str = "source", repository: str = "doc_id", shared: int = SHARED_OWNERS) -> DataFrame:
-    """documents(doc_id, text, ...) to (doc_id, base, live), a row for each row. base: array of
-    (kind, start, end) by start, then kind: 0 assign, 1 access, 2 hex. live: array of (start, end) of the
-    values that look live and belong to fewer than `shared` distinct owners over the whole table;
-    those that more owners share are taken for examples that all have copied.
+def judged(rows: DataFrame, owners: int, repositories: int) -> DataFrame:
+    """rows(row, owner, repository, found), only those with candidates, to (row, judged): the distinct
+    spans of values that look live, with what ownership() says of them. A value that very many rows have
+    is a hot key of the join with its counts, which adaptive execution splits."""
+    spans = rows.select("row", F.explode("found").alias("c")).where("c.looks").select("row", F.col("c.vstart").alias("start"), F.col("c.vend").alias("end"), "c.value")
+    told = spans.join(ownership(rows, owners, repositories), "value")
+    return told.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end", "owners", "repositories", "copied"))).alias("judged"))
+
+
+def _live(spans: Column) -> Column:
+    """Of judged spans those that aren't copied."""
+    return F.transform(F.filter(spans, lambda s: ~s["copied"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+
+
+def scan(spark: SparkSession, documents: DataFrame, owner: str = "source", repository: str = "doc_id", owners: int = SHARED_OWNERS, repositories: int = SHARED_REPOSITORIES) -> DataFrame:
+    """documents(doc_id, text, ...) to (doc_id, base, judged, live), a row for each row. base: array of
+    (kind, start, end) by start, then kind: 0 assign, 1 access, 2 hex. judged: array of (start, end,
+    owners, repositories, copied) of the values that look live, with the numbers of distinct owners and
+    repositories that have the value over the whole table; a value of `owners` owners or more, or of
+    `repositories` repositories or more, is taken for an example that all have copied. live: array of
+    (start, end) of the others, which are specific to their owners.
 
     documents has no repository column, so a source counts as an owner and a document as a repository
-    of it unless told otherwise. Null owners are one owner. Null and empty texts have no spans. Repeated rows
-    are a row each. Offsets are code points of the text. No rows: no rows. Other columns are ignored."""
+    of it unless told otherwise. Null owners are one owner. Null and empty texts have no spans, texts of
+    any length are scanned whole. Repeated rows are a row each. Offsets are code points of the text. No
+    rows: no rows. Other columns are ignored."""
     docs = pick(documents, "text", "doc_id", owner, repository).toDF("text", "doc_id", "owner", "repository")
     kinds = {n: docs.schema[n].dataType.simpleString() for n in ("doc_id", "owner", "repository")}
     found = docs.mapInArrow(_scan(0), f"doc_id {kinds['doc_id']}, owner {kinds['owner']}, repository {kinds['repository']}, found {SPAN_SQL}")
     found, _ = written(spark, found.withColumn("row", F.monotonically_increasing_id()), "candidates")
     some = found.where(F.size("found") > 0)
-    empty = F.array().cast("array<struct<start: long, end: long>>")
-    told = some.join(judged(some, shared), "row", "left").select("doc_id", "found", F.coalesce("live", empty).alias("live"))
-    every = told.unionByName(found.where(F.size("found") == 0).select("doc_id", "found", empty.alias("live")))
+    empty = F.array().cast(JUDGED)
+    told = some.join(judged(some, owners, repositories), "row", "left").select("doc_id", "found", F.coalesce("judged", empty).alias("judged"))
+    every = told.unionByName(found.where(F.size("found") == 0).select("doc_id", "found", empty.alias("judged")))
     base = F.transform("found", lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
-    return every.select("doc_id", base.alias("base"), "live")
+    return every.select("doc_id", base.alias("base"), "judged", _live(F.col("judged")).alias("live"))
+
 
+def masked(spark: SparkSession, documents: DataFrame, owner: str = "source", repository: str = "doc_id", owners: int = SHARED_OWNERS, repositories: int = SHARED_REPOSITORIES) -> DataFrame:
+    """The documents, whole and with their columns as they were, with live values replaced by [SECRET],
+    and n_chars, if there is such a column, counted anew where there is one. All documents stay: null
+    and empty texts as they are, each of repeated rows. No rows: no rows. The first column of a name
+    counts, in any case.
 
-def masked(spark: SparkSession, documents: DataFrame, owner: str = "source", repository: str = "doc_id", shared: int = SHARED_OWNERS) -> DataFrame:
-    """The documents, whole, with live values replaced by [SECRET] and n_chars counted anew where there
-    is one. Texts without candidates pass straight through; only the others are shuffled."""
+    Texts are scanned once, and written with what was found, apart from those without candidates, which
+    pass straight through; only the others are joined with what their values are."""
     names = list(documents.columns)
-    place = {n: f"_{names.index(n)}" for n in dict.fromkeys(["text", owner, repository])}
-    flat = documents.toDF(*[f"_{i}" for i in range(len(names))])
-    text = names.index("text")
-    with_text = flat.withColumn("_text", F.col(place["text"]))
+    flat = positional(documents)
+    text, own, repo = (place_of(documents, n) for n in ("text", owner, repository))
     schema = flat.withColumn("found", F.lit(None).cast(SPAN_SQL)).schema
-    scanned = with_text.mapInArrow(_scan(len(names)), schema)
-    some = scanned.where(F.size("found") > 0).withColumn("row", F.monotonically_increasing_id())
-    some, _ = written(spark, some, "with-candidates")
-    live = judged(some.select("row", F.col(place[owner]).alias("owner"), F.col(place[repository]).alias("repository"), "found"), shared)
+    scanned = flat.withColumn("_text", F.col(f"_{text}")).mapInArrow(_scan(len(names)), schema)
+    scanned = scanned.withColumns({"row": F.monotonically_increasing_id(), "some": F.size("found") > 0})
+    scanned, _ = written(spark, scanned, "scanned", by="some")
+    some = scanned.where("some").drop("some")
+    live = judged(some.select("row", F.col(f"_{own}").alias("owner"), F.col(f"_{repo}").alias("repository"), "found"), owners, repositories)
+    live = live.select("row", _live(F.col("judged")).alias("live")).where(F.size("live") > 0)
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(text).to_pylist()
             spans = batch.column(len(names)).to_pylist()
-            for i, own in enumerate(spans):
+            for i, found in enumerate(spans):
                 out, at = [], 0
-                for s in own or []:
+                for s in found or []:
                     if s["start"] < at:  # values can overlap: one mask covers both
                         at = max(at, s["end"])
                         continue
@@ -154,9 +173,9 @@ def masked(spark: SparkSession, documents: DataFrame, owner: str = "source", rep
 
     joined = some.drop("found").join(live, "row", "left")
     changed = joined.where("live is not null").drop("row").select(*flat.columns, "live").mapInArrow(mask, flat.schema)
-    if "n_chars" in names:
-        count = f"_{names.index('n_chars')}"
-        changed = changed.withColumn(count, F.length(place["text"]).cast(flat.schema[count].dataType))
+    if "n_chars" in [n.lower() for n in names]:
+        count = f"_{place_of(documents, 'n_chars')}"
+        changed = changed.withColumn(count, F.length(f"_{text}").cast(flat.schema[count].dataType))
     rest = joined.where("live is null").select(*flat.columns)
-    plain = scanned.where(F.size("found") == 0).select(*flat.columns)
+    plain = scanned.where("not some").select(*flat.columns)
     return plain.unionByName(rest).unionByName(changed).toDF(*names)

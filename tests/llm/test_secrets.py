@@ -1,4 +1,6 @@
 import hashlib
+import math
+import random
 import re
 
 import pytest
@@ -61,7 +63,58 @@ def test_ownership_tells_examples_from_live_ones(spark):
     mine, copied, stand_in = "password=q8Zt5LmPx2WvK9", "password=Hk3Rt7YpQ9sLm2", "password=changeme-changeme"
     rows = [(1, mine, "a"), (2, mine, "a"), (3, mine, "b")] + [(10 + i, copied, f"s{i}") for i in range(5)] + [(20, stand_in, "a"), (30, "nothing", "a")]
     assert live(spark, rows) == {1: 1, 2: 1, 3: 1, **{10 + i: 0 for i in range(5)}, 20: 0, 30: 0}
-    assert live(spark, rows, shared=6)[10] == 1
+    assert live(spark, rows, owners=6)[10] == 1
+
+
+def test_many_repositories_make_an_example_whosever_they_are(spark):
+    rows = [(i, "password=q8Zt5LmPx2WvK9", "a") for i in range(20)] + [(50 + i, "password=Hk3Rt7YpQ9sLm2", "a") for i in range(19)] + [(50, "again password=Hk3Rt7YpQ9sLm2", "a")]
+    got = live(spark, rows)
+    assert all(got[i] == 0 for i in range(20)) and all(got[50 + i] == 1 for i in range(19))
+    assert live(spark, rows, repositories=21)[0] == 1
+
+
+def test_both_numbers_are_in_the_plan(spark):
+    """The repositories decide, so that the optimizer can't take them away."""
+    plan = secrets.scan(spark, spark.createDataFrame([(1, "x", "s")], SCHEMA))._jdf.queryExecution().optimizedPlan().toString()
+    assert "repository" in plan and "sum(" in plan
+
+
+def brute_spans(rows):
+    """What op6 says of rows, with sets of owners and repositories by value."""
+    values, out = {}, []
+    for d, t, s in rows:
+        for a, k, b in base(t):
+            own = t[a:b]
+            v = ASSIGN.match(own)[1] if k == 0 else own
+            values.setdefault(v, set()).add((s, d))
+    for d, t, s in rows:
+        found, live, counts = base(t), set(), set()
+        for a, k, b in found:
+            v = ASSIGN.match(t[a:b])[1] if k == 0 else t[a:b]
+            bits = -sum(v.count(c) / len(v) * math.log2(v.count(c) / len(v)) for c in set(v))
+            if len(v) < 12 or bits < secrets.LEAST_BITS or any(w in v.lower() for w in secrets.STAND_INS):
+                continue
+            owners, repositories = len({o for o, _ in values[v]}), len({x for x in values[v] if x[1] is not None})
+            counts.add((b - len(v), b, owners, repositories))
+            if owners < secrets.SHARED_OWNERS and repositories < secrets.SHARED_REPOSITORIES:
+                live.add((b - len(v), 3, b))
+        out.append((d, joined(sorted([*found, *live])), len(live), ",".join(":".join(map(str, c)) for c in sorted(counts))))
+    return sorted(out, key=repr)
+
+
+def test_spans_against_brute_force(spark, tmp_path):
+    rng = random.Random(2)
+    values = ["".join(rng.choice("abcdefXYZ0123456789") for _ in range(rng.choice([12, 20, 32]))) for _ in range(12)] + ["deadbeefdeadbeef0", "AKIAQ8ZT5LMPX2WVK9", "example-example-1", "aaaaaaaaaaaaaaaaaa"]
+    rows = []
+    for i in range(250):
+        text = " é ".join(rng.choice(["token=", "PASSWORD : '", "", "see "]) + rng.choice(values[: rng.choice([2, 16])]) for _ in range(rng.randint(0, 4)))
+        rows.append((rng.choice([i, i, i // 9, None]), rng.choice([text, text, None]), rng.choice(["a", "a", "b", f"s{i % 30}", None])))
+    rows += [(500 + i, f"token={values[3]} {i}", "hot") for i in range(30)] + rows[:5]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op6_secret_scan"](spark, f"file://{tmp_path}").collect()
+    want = brute_spans(rows)
+    assert sorted(((r.doc_id, r.spans, r.n_live, r.ownership) for r in got), key=repr) == want
+    assert any(x[2] for x in want) and any(x[3] and not x[2] for x in want)
 
 
 def test_counts_by_owner_and_repository(spark):
@@ -76,6 +129,7 @@ def test_masking(spark):
     df = spark.createDataFrame(rows, SCHEMA).withColumn("n_chars", F.length("text").cast("long")).withColumn("found", F.lit("kept")).withColumn("live", F.lit(1))
     got = secrets.masked(spark, df)
     assert got.columns == df.columns
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1  # the masks; the scan is done and written
     texts = sorted(((r.doc_id, r.text, r.n_chars) for r in got.collect()), key=repr)
     want = [(1, "é token=[SECRET] end", 20), (2, "clean", 5), (3, None, None), (4, "token=[SECRET]", 14), (4, "token=[SECRET]", 14), (5, "", 0)] + [(10 + i, "password=Hk3Rt7YpQ9sLm2", 23) for i in range(4)]
     assert texts == sorted(want, key=repr)
