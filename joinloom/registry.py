@@ -21,6 +21,9 @@ PK = "(select i pos, (i * 2654435761 + 42) % 1024 k from range(1024) t(i))"
 FK = "(select i pos, (((i * 40503 + 7) % 4096) % 1024 * 2654435761 + 42) % 1024 k from range(4096) t(i))"
 WEIGHTS = "(select i + 1 i, 1048576 // (i + 1) w from range(256) t(i))"
 SPANS = f"(select i k, s - w lo, s hi from (select i, w, cast(sum(w) over (order by i rows unbounded preceding) as bigint) s from {WEIGHTS}))"
+HALF = "(select i + 1 i, cast(floor(sqrt(cast(1099511627776 // (i + 1) as double))) as bigint) w from range(256) t(i))"
+HALF_SPANS = SPANS.replace(WEIGHTS, HALF)
+HALF_ZIPF = f"(select z.k from (select (n * 2654435761 + 12345) % (select cast(sum(w) as bigint) from {HALF}) u from range(4096) t(n)) d join {HALF_SPANS} z on d.u >= z.lo and d.u < z.hi)"
 ZIPF = f"(select z.k from (select (n * 2654435761 + 12345) % 6421731 u from range(4096) t(n)) d join {SPANS} z on d.u >= z.lo and d.u < z.hi)"
 GRID = """(select nr, ratio, pr, ps, dist, 'pkfk' join_type, uk unique_keys, cast(z * 0.25 as double) zipf_factor, selectivity, algo, 9 p, q
   from range(20, 29) a(nr), range(0, 8) b(ratio), range(1, 7) c(pr), range(1, 7) d(ps), (values ('uniform'), ('zipf')) e(dist), range(21, 30) f(uk), range(0, 9) g(z),
@@ -174,9 +177,8 @@ def join_pkfk_zipf1(spark, d):
     return _one(spark.range(1, ALPHABET + 1).withColumnRenamed("id", "k"), workloads.zipf_keys(spark, N_FK, ALPHABET, 1))
 
 
-@query("join_pkfk_zipf_half")
+@query("join_pkfk_zipf_half", f"select r.k k, r.k r1, s.k s1 from (select i + 1 k from range(256) t(i)) r join {HALF_ZIPF} s on r.k = s.k")
 def join_pkfk_zipf_half(spark, d):
-    """Skew by a broken power, which SQL engines may round apart: tested by its invariants."""
     return _one(spark.range(1, ALPHABET + 1).withColumnRenamed("id", "k"), workloads.zipf_keys(spark, N_FK, ALPHABET, 0.5))
 
 

@@ -39,14 +39,26 @@ def cyclic_keys(spark: SparkSession, n: int, unique: int, key: str = "long") ->
     return positions(spark, n).withColumn("k", (F.col("pos") % unique).cast(key))
 
 
+def zipf_weight(z: float) -> Column:
+    if 2 * z != int(2 * z):
+        return F.floor(F.lit(float(ZIPF_ONE)) / F.pow("i", F.lit(float(z))))
+    k, one = int(2 * z), ZIPF_ONE**2
+    if not k:
+        return F.lit(ZIPF_ONE)
+    most = int(one ** (1 / k)) + 1  # beyond it the quotient is zero, and the power may be no long
+    quotient = F.expr(f"{one} div ({' * '.join(['i'] * k)})")
+    return F.when(F.col("i") <= most, F.floor(F.sqrt(quotient.cast("double")))).otherwise(0)
+
+
 def zipf_keys(spark: SparkSession, n: int, alphabet: int, z: float, key: str = "long") -> DataFrame:
-    """(pos, k): n keys of 1 .. alphabet; key i has weight 2**20 // i**z, one at least.
+    """(pos, k): n keys of 1 .. alphabet; key i has weight 2**20 // i**z, one at least. Where 2 * z is whole,
+    that is the whole root of 2**40 // i**(2 * z), in whole numbers, so that any engine has the same.
 
     Weights are summed by ranges of ranks, then over the ranges. A draw finds its rank's interval by
     the cell of the line it falls into: intervals are listed under each cell that they touch, so the
     join is an equi-join with at most alphabet + cells rows on that side, and a hot rank, which
     touches most cells, is spread over them."""
-    weight = F.greatest(F.lit(1), F.floor(F.lit(float(ZIPF_ONE)) / F.pow("i", F.lit(float(z))))).cast("long")
+    weight = F.greatest(F.lit(1), zipf_weight(z)).cast("long")
     ranks = spark.range(1, alphabet + 1).select(F.col("id").alias("i"), F.floor(F.col("id") / ZIPF_RANGE).alias("part")).withColumn("w", weight)
     sums = ranks.groupBy("part").agg(F.sum("w").alias("all"))
     sums = sums.select("part", F.coalesce(F.sum("all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
