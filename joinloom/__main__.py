@@ -5,6 +5,8 @@ from __future__ import annotations
 import argparse
 import json
 
+from pyspark.sql import SparkSession
+
 from joinloom.operators.joins import STRATEGIES
 from joinloom.plans import experiments
 from joinloom.plans import queries as plans
@@ -45,7 +47,10 @@ def parser() -> argparse.ArgumentParser:
     join.add_argument("--repeats", type=int, default=5)
 
     grid = what.add_parser("grid", help="an experiment: all its configurations, in rounds")
-    grid.add_argument("name", choices=list(experiments.CHOICES))
+    grid.add_argument("names", nargs="*", help=f"of {', '.join(experiments.CHOICES)}, or of the file's")
+    grid.add_argument("--experiments", help="a JSON or YAML file of experiments")
+    grid.add_argument("--save", help="a folder to save the whole grid in, as CSV")
+    grid.add_argument("--configs", help="a folder with a saved grid to choose from")
     grid.add_argument("--smaller", type=int, default=0, help="powers of two to take off all sizes")
     grid.add_argument("--repeats", type=int, default=5)
 
@@ -56,6 +61,23 @@ def parser() -> argparse.ArgumentParser:
     return out
 
 
+def grid(spark: SparkSession, a: argparse.Namespace) -> list[dict]:
+    if a.save:
+        experiments.save_grid(experiments.grid(spark), a.save)
+    df = experiments.saved_grid(spark, a.configs) if a.configs else experiments.grid(spark)
+    listed = {e.name: e for e in experiments.experiments(spark, a.experiments)} if a.experiments else {}
+    known, rows = listed or experiments.CHOICES, []
+    for name in a.names:
+        if name not in known:
+            raise SystemExit(f"no experiment {name!r}; there are {', '.join(known)}")
+        e = listed.get(name)
+        found = experiments.chosen(spark, df, e.query) if e else experiments.choice(spark, name, df)
+        widths = (e.key, e.payload) if e else experiments.WIDTHS.get(name, ("int", "int"))
+        sink = a.sink and (f"{a.sink.rstrip('/')}/{e.output}" if e and e.output else a.sink)
+        rows += experiments.run(spark, experiments.configs(found), sink, widths, a.smaller, a.repeats)
+    return rows
+
+
 def main(arguments: list[str] | None = None) -> list[dict]:
     a = parser().parse_args(arguments)
     spark = session(master=a.master)
@@ -67,8 +89,7 @@ def main(arguments: list[str] | None = None) -> list[dict]:
         config = experiments.Config(a.nr, a.ratio, a.pr, a.ps, a.dist, a.join_type, a.unique_keys, a.zipf_factor, a.selectivity, a.algo)
         rows = experiments.run(spark, [config], a.sink, (a.key, a.payload), repeats=a.repeats)
     elif a.what == "grid":
-        chosen = experiments.configs(experiments.choice(spark, a.name))
-        rows = experiments.run(spark, chosen, a.sink, experiments.WIDTHS.get(a.name, ("int", "int")), a.smaller, a.repeats)
+        rows = grid(spark, a)
     else:
         from joinloom.registry import QUERIES
 

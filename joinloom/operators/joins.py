@@ -42,8 +42,10 @@ def strategy_of(name: str, left_payload: int, right_payload: int) -> Strategy:
 
 def equi_join(left: DataFrame, right: DataFrame, key: str | tuple[str, str], strategy: str = "AUTO", left_payload: list[str] | None = None, right_payload: list[str] | None = None) -> DataFrame:
     """left and right joined on a key: one name, or the left's and the right's (the left's stays). A hint goes
-    to the left side, which is built where sides are hashed. Payload: all other columns, if not
-    given; none is fine. Equal payload names on both sides are an error."""
+    to the left side, which is built where sides are hashed: a task then holds one partition of it in
+    memory, whatever its size, so a left side with keys of very many rows wants a merging strategy,
+    which spills. Payload: all other columns, if not given; none is fine. Equal payload names on both
+    sides are an error."""
     left_key, right_key = (key, key) if isinstance(key, str) else key
     left_payload = [c for c in left.columns if c != left_key] if left_payload is None else left_payload
     right_payload = [c for c in right.columns if c != right_key] if right_payload is None else right_payload

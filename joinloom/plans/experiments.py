@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import itertools
+import json
 import time
 from collections.abc import Iterable
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, fields
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,7 +56,7 @@ _BITS = "(algo like 'smj%' or p = 9 and (nr < 28 and q = 6 or nr >= 28 and q = 7
 _PAIR = "pr = ps and unique_keys = nr"
 _PLAIN = f"{_PAIR} and dist = 'uniform' and zipf_factor = 0"
 
-#: What each experiment asks of the grid.
+#: What each experiment asks of the grid. Fixed values.
 CHOICES = {
     "vanilla": f"nr in (25, 26, 27) and ratio in (0, 1, 2) and nr + ratio < 30 and pr in (1, 2) and {_PLAIN} and selectivity = 1",
     "skew": f"nr in (25, 26, 27) and ratio = 0 and pr in (1, 2) and {_PAIR} and dist = 'zipf' and selectivity = 1",
@@ -65,17 +66,60 @@ CHOICES = {
     "8b8b": f"nr in (25, 26, 27) and ratio in (0, 1) and pr = 2 and {_PLAIN} and selectivity = 1",
     "4b8b": f"nr in (25, 26, 27) and ratio in (0, 1) and pr = 2 and {_PLAIN} and selectivity = 1",
 }
+#: What the runs of an experiment are ordered by; the others by BY. Fixed values.
+BY = "algo, nr, ratio, pr, ps"
+ORDERS = {"skew": "algo, nr, ratio, pr, ps, zipf_factor", "matchrate": "algo, nr, pr, ps, selectivity"}
 #: Key and payload types by experiment; the others have int keys and int payloads.
 WIDTHS = {"8b8b": ("bigint", "bigint"), "4b8b": ("int", "bigint")}
 
 
 def chosen(spark: SparkSession, df: DataFrame, sql: str) -> DataFrame:
-    """Any SQL over the grid, which it names {df}."""
-    return spark.sql(sql, df=df)
+    """Any SQL over the grid, which it names {df}, or df."""
+    if "{df}" in sql:
+        return spark.sql(sql, df=df)
+    df.createOrReplaceTempView("df")
+    return spark.sql(sql)
 
 
-def choice(spark: SparkSession, name: str) -> DataFrame:
-    return chosen(spark, grid(spark), f"select * from (select distinct * from {{df}} where {CHOICES[name]} and {_BITS}) order by nr, ratio, pr, zipf_factor, selectivity, algo")
+def choice(spark: SparkSession, name: str, df: DataFrame | None = None) -> DataFrame:
+    """An experiment's configurations, of the whole grid or of one that was saved."""
+    df = grid(spark) if df is None else df
+    return chosen(spark, df, f"select * from (select distinct * from {{df}} where {CHOICES[name]} and {_BITS}) order by {ORDERS.get(name, BY)}")
+
+
+def save_grid(df: DataFrame, folder: str) -> None:
+    """Configurations as CSV files with a header."""
+    df.write.mode("overwrite").csv(folder, header=True)
+
+
+def saved_grid(spark: SparkSession, folder: str) -> DataFrame:
+    """What save_grid() wrote, with the grid's types."""
+    return spark.read.csv(folder, header=True, schema=grid(spark).schema)
+
+
+@dataclass(frozen=True)
+class Experiment:
+    """query: SQL over the grid. output: what its folder of results is called. key and payload: types."""
+
+    name: str
+    query: str
+    output: str = ""
+    key: str = "int"
+    payload: str = "int"
+
+
+def experiments(spark: SparkSession, path: str) -> list[Experiment]:
+    """Those that a file lists: JSON, or YAML where its parser is installed, with a list `experiments` of
+    name, query and, if need be, output, key and payload. Other entries are passed over."""
+    text = spark.read.text(path, wholetext=True).first()["value"]
+    if path.endswith((".yaml", ".yml")):
+        import yaml
+
+        listed = yaml.safe_load(text)
+    else:
+        listed = json.loads(text)
+    known = {f.name for f in fields(Experiment)}
+    return [Experiment(**{k: v for k, v in e.items() if k in known}) for e in listed["experiments"]]
 
 
 @dataclass(frozen=True)
@@ -132,8 +176,8 @@ def run(spark: SparkSession, configs: Iterable[Config], sink: str | None = None,
 
 
 def configs(df: DataFrame) -> list[Config]:
-    """A choice as configurations; a grid's choice has some hundreds of rows at most."""
-    return [Config(**r.asDict()) for r in df.limit(10_000).collect()]
+    """All configurations of a choice, in its order; they come to the driver a partition at a time."""
+    return [Config(**r.asDict()) for r in df.toLocalIterator()]
 
 
 def star_steps(fact: DataFrame, dim: DataFrame, strategy: str = "AUTO", sink: str | None = None) -> list[dict]:

@@ -46,8 +46,9 @@ def q64(spark: SparkSession, sf_dir: str, strategy: str = "AUTO") -> DataFrame:
     return equi_join(scan(spark, sf_dir, "part", "p_partkey", "p_brand"), scan(spark, sf_dir, "lineitem", "l_partkey", *wide), ("p_partkey", "l_partkey"), strategy)
 
 
-def q95(spark: SparkSession, sf_dir: str, strategy: str = "AUTO") -> DataFrame:
-    """A self-join: all pairs of lines of an order."""
+def q95(spark: SparkSession, sf_dir: str, strategy: str = "SMJ") -> DataFrame:
+    """A self-join: all pairs of lines of an order. Both sides are the fact table, which is never to be
+    broadcast, however small the optimizer may find it: they are merged unless told otherwise."""
     lines = scan(spark, sf_dir, "lineitem", "l_orderkey", "l_suppkey")
     a, b = (lines.select(F.col("l_orderkey").alias("order_number"), F.col("l_suppkey").alias(w)) for w in ("wh1", "wh2"))
     return equi_join(a, b, "order_number", strategy)

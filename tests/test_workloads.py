@@ -108,6 +108,12 @@ def test_runner_keeps_going_and_appends(spark, tmp_path):
     assert spark.read.csv(sink, header=True).count() == 10
 
 
+@pytest.mark.parametrize("name, columns", [("vanilla", "algo nr ratio pr ps"), ("skew", "algo nr ratio pr ps zipf_factor"), ("matchrate", "algo nr pr ps selectivity")])
+def test_choices_are_in_order(spark, name, columns):
+    places = [tuple(getattr(c, n) for n in columns.split()) for c in experiments.configs(experiments.choice(spark, name))]
+    assert places == sorted(places) and len(set(places)) == len(places)
+
+
 def test_choices_run(spark):
     found = experiments.configs(experiments.choice(spark, "8b8b"))
     assert len(found) == 24
