@@ -5,6 +5,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 ROOT = Path(__file__).resolve().parents[1]
 
 
@@ -18,6 +20,14 @@ def test_entry_imports_without_them(tmp_path):
     assert n > 50 and oracles > 50
 
 
+@pytest.mark.parametrize("module", ["ahocorasick", "tiktoken", "xxhash"])
+def test_entry_imports_without_what_they_alone_need(module):
+    code = f"import sys; sys.modules['{module}'] = None; import __spark_entry__ as e; q = e.queries(); assert 'q7_shape' in q and 'pipeline' not in q and set(e.oracle_sql()) <= set(q); print(len(q))"
+    done = subprocess.run([sys.executable, "-B", "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0 and int(done.stdout) > 50, done.stderr
+    assert module in done.stderr and "left out" in done.stderr
+
+
 def test_nothing_else_imports_them():
     for p in (ROOT / "joinloom").rglob("*.py"):
         if "llm" not in p.relative_to(ROOT).parts:
