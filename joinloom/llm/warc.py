@@ -2,17 +2,22 @@
 
 A monolithic archive is one gzip stream over all its records, so that no record can be read without
 inflating what stands before it. The normaliser inflates such a file once, front to back, and writes
-every record as a gzip member of its own beside an index of the members' offsets."""
+every record as a gzip member of its own beside an index of the members' offsets.
+
+An archive NAME.warc.gz has its index in NAME.idx: for each member its offset and its length, each a
+little-endian 64-bit number, so that any part of the index can be read without the rest."""
 
 from __future__ import annotations
 
 import base64
 import hashlib
 import io
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +32,8 @@ HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Le
 DATE = b"1970-01-01T00:00:00Z"
 PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = b"urn:page:"
+#: Bytes of a member's entry in the index.
+ENTRY = 16
 
 
 def _uri(url: str | None) -> bytes:
@@ -182,10 +189,27 @@ def read_member(data: bytes) -> dict:
     raise ValueError("a member without a record")
 
 
+def _copied(fs: pafs.FileSystem, source: io.IOBase, tried: str, final: str) -> int:
+    """Normalises one stream to final.warc.gz and final.idx, by way of files named tried; returns the number
+    of records. Files appear under their final names only when they are whole, the index last."""
+    records = 0
+    try:
+        with fs.open_output_stream(f"{tried}.warc.gz", compression=None) as out, fs.open_output_stream(f"{tried}.idx", compression=None) as side:
+            for offset, length in normalise(source, out):
+                side.write(struct.pack("<QQ", offset, length))
+                records += 1
+    except Exception:
+        for name in (f"{tried}.warc.gz", f"{tried}.idx"):
+            fs.delete_file(name)
+        raise
+    fs.move(f"{tried}.warc.gz", f"{final}.warc.gz")
+    fs.move(f"{tried}.idx", f"{final}.idx")
+    return records
+
+
 def _write(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Each partition's rows (row, page_id, url, html, refers_to, revisit) to one monolithic archive,
-    which is then normalised. Files appear under their final names only when they are whole, and a
-    task that runs again writes the same name. Yields (file, offset, length): the sidecar index."""
+    which is then normalised. A task that runs again writes the same name. Yields (file, records)."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -205,17 +229,11 @@ def _write(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                     for piece in record(row, page, url, html or b"", refers, revisit):
                         out.write(z.compress(piece))
             out.write(z.flush())
-        if not rows:
-            fs.delete_file(f"{tried}.raw")
-            return
-        with fs.open_input_stream(f"{tried}.raw", compression=None) as raw, fs.open_output_stream(f"{tried}.warc.gz", compression=None) as out:
-            index = list(normalise(raw, out))
+        if rows:
+            with fs.open_input_stream(f"{tried}.raw", compression=None) as raw:
+                found = _copied(fs, raw, tried, f"{at}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([found], pa.int64())], names=["file", "records"])
         fs.delete_file(f"{tried}.raw")
-        with fs.open_output_stream(f"{tried}.idx", compression=None) as out:
-            out.write("".join(f"{o} {n}\n" for o, n in index).encode())
-        fs.move(f"{tried}.warc.gz", f"{at}/{name}.warc.gz")
-        fs.move(f"{tried}.idx", f"{at}/{name}.idx")
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(index)], pa.int64())], names=["file", "records"])
 
     return write
 
@@ -229,15 +247,68 @@ def _read(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
         fs, at = file_system(folder)
         for batch in batches:
             for want in batch.to_pylist():
-                with fs.open_input_stream(f"{at}/{want['file']}.idx", compression=None) as side:
-                    index = [tuple(map(int, x.split())) for x in side.read().splitlines()]
                 with fs.open_input_file(f"{at}/{want['file']}.warc.gz") as source:
-                    found = [read_member(source.read_at(n, o)) for o, n in index[want["first"] : want["last"]]]
+                    found = [read_member(source.read_at(n, o)) for o, n in entries(fs, f"{at}/{want['file']}.idx", want["first"], want["last"])]
                 yield pa.RecordBatch.from_pylist(found, schema=kinds)
 
     return read
 
 
+def entries(fs: pafs.FileSystem, index: str, first: int, last: int) -> Iterator[tuple[int, int]]:
+    """(offset, length) of the members from first to last, or to the end, of an index."""
+    with fs.open_input_file(index) as side:
+        part = side.read_at(ENTRY * (last - first), ENTRY * first)
+    return struct.iter_unpack("<QQ", part)
+
+
+def normalised(spark: SparkSession, files: DataFrame, folder: str | None = None) -> DataFrame:
+    """Archives that are there already: files(path), each a gzip file of WARC records in as many members as
+    it may have, to (path, file, records long, error), a row for each. They are normalised into a folder, by
+    default a new one in the shared folder, which is column `folder`: file.warc.gz has each record as a
+    member, file.idx their offsets and lengths. file is the path's name without its ending, and a hash of the
+    path, so that files of one name in several folders don't meet.
+
+    An archive is a task, since a gzip stream can only be inflated front to back; it passes through in
+    pieces, however large it and its records are. Archives that are cut off or hold something else are not
+    written: error says why, and the others are. An empty file has no records; a null path is an error of
+    its row; a path that is listed again is done again, with the same result. No rows: no rows. Other
+    columns are ignored."""
+    folder = folder or fresh_path(spark, "warc")
+    kinds = pa.schema([("path", pa.string()), ("folder", pa.string()), ("file", pa.string()), ("records", pa.int64()), ("error", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        fs, at = file_system(folder)
+        fs.create_dir(at, recursive=True)
+        attempt = TaskContext.get().taskAttemptId()
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                row = {"path": path, "folder": folder, "file": None, "records": None, "error": None}
+                try:
+                    if path is None:
+                        raise ValueError("no path")
+                    name = f"{path.rstrip('/').rpartition('/')[2].removesuffix('.gz').removesuffix('.warc')}-{hashlib.sha1(path.encode(), usedforsecurity=False).hexdigest()[:12]}"
+                    tried = f"{at}/_{name}-{attempt}"
+                    own, source = file_system(path if "://" in path or path.startswith("file:") else f"file://{path}")
+                    if not (info := own.get_file_info(source)).is_file:
+                        raise FileNotFoundError(path)
+                    if info.size:
+                        with own.open_input_stream(source, compression=None) as raw:
+                            row["records"] = _copied(fs, raw, tried, f"{at}/{name}")
+                    else:
+                        row["records"] = _copied(fs, io.BytesIO(), tried, f"{at}/{name}")
+                    row["file"] = name
+                except (ValueError, EOFError, OSError, zlib.error) as e:
+                    row["error"] = f"{type(e).__name__}: {e}"[:500]
+                yield pa.RecordBatch.from_pylist([row], schema=kinds)
+
+    paths = pick(files, "path").select(F.col("path").cast("string").alias("path"))
+    tasks = max(1, paths.count())
+    out = paths.repartition(tasks).mapInArrow(run, "path string, folder string, file string, records long, error string")
+    return written(spark, out, "normalised")[0]
+
+
 def archive(spark: SparkSession, pages: DataFrame, folder: str | None = None, least: int = REVISIT_BYTES) -> tuple[str, DataFrame]:
     """Writes a record for each pages row (page_id, url, html) to normalised archives in a folder, by
     default a new one in the shared folder; returns it and (file, records).

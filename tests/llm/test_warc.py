@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import io
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,3 +85,38 @@ def test_cut_and_wrong_archives():
     with pytest.raises(ValueError):
         warc.read_member(gzip.compress(raw.replace(b"CCC", b"CXC", 1)[len(b"".join(warc.record(0, 0, "http://0/", b"A", None, False))) :].replace(b"BBB", b"BXB", 1)))
     assert list(warc.normalise(io.BytesIO(b""), io.BytesIO())) == []
+
+
+@pytest.mark.parametrize("most", [1, 3, 4096])
+def test_parts_of_the_index_are_read_alone(spark, most):
+    rows = [(i, "u", f"page {i} " * (i % 5 * 50)) for i in range(40)]
+    folder, files = warc.archive(spark, spark.createDataFrame(rows, SCHEMA).coalesce(2))
+    got = sorted(map(tuple, warc.read_back(spark, folder, files, most).collect()), key=repr)
+    assert got == brute(rows)
+
+
+def test_archives_that_are_there(spark, tmp_path):
+    """Whole-file gzip, many members, an empty file, cut and wrong ones, a path twice, one name in two folders."""
+    payloads, raw = blocks()
+    ok = {"a/mono.warc.gz": gzip.compress(raw), "b/mono.warc.gz": b"".join(gzip.compress(raw[i : i + 999]) for i in range(0, len(raw), 999)), "a/empty.warc.gz": b"", "a/none.gz": gzip.compress(b"")}
+    bad = {"a/cut.warc.gz": gzip.compress(raw)[:-50], "a/other.warc.gz": gzip.compress(b"nonsense\r\n"), "a/plain.warc.gz": b"no gzip at all"}
+    for name, data in (ok | bad).items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    paths = [f"{tmp_path}/{n}" for n in (ok | bad)] + [f"file://{tmp_path}/a/mono.warc.gz", f"{tmp_path}/a/mono.warc.gz", f"{tmp_path}/missing.gz", None]
+    got = warc.normalised(spark, spark.createDataFrame([(x, 1) for x in paths], "path string, file long")).collect()
+    assert sorted(r.path or "" for r in got) == sorted(x or "" for x in paths)
+    folder = got[0].folder.removeprefix("file://")
+    for r in got:
+        name = (r.path or "").removeprefix("file://").removeprefix(f"{tmp_path}/")
+        if name not in ok:
+            assert r.error and r.file is None and r.records is None
+            continue
+        assert r.error is None and r.records == (5 if "mono" in name else 0)
+        with open(f"{folder}/{r.file}.warc.gz", "rb") as f:
+            data = f.read()
+        assert (gzip.decompress(data) if data else b"") == (raw if "mono" in name else b"")
+        index = list(warc.entries(warc.file_system(r.folder)[0], f"{folder}/{r.file}.idx", 0, 100))
+        assert [warc.read_member(data[o : o + n])["payload_digest"] for o, n in index] == [hashlib.sha1(p).hexdigest() for p in payloads][: len(index)] and len(index) == r.records
+    assert not [n for n in os.listdir(folder) if any(x in n for x in ("cut", "other", "plain"))]
+    assert warc.normalised(spark, spark.createDataFrame([], "path string")).collect() == []
