@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from joinloom.llm.common import pick
+from joinloom.llm.common import pick, written
 
 TOP = 5
 SCALE = 256
@@ -72,7 +72,7 @@ def _vectors(column: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
-def _unpack(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+def _unpack(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<i8").reshape(len(column), dim)
 
 
@@ -81,17 +81,16 @@ def _pack(x: np.ndarray) -> pa.Array:
 
 
 def _gatherer(model: Pivots):
-    """Query rows (id, v) to (cell, pivot, near, far): the least and the greatest distance to each
-    pivot at which a vector can be among the k nearest of one of the cell's queries."""
+    """Placed query rows (id, v, q_cell) to (cell, pivot, near, far): the least and the greatest distance to
+    each pivot at which a vector can be among the k nearest of one of the cell's queries."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(model.points)
         near, far = np.full((n, n), np.inf), np.full((n, n), -np.inf)
         count = np.zeros(n, np.int64)
         for batch in batches:
-            x = _vectors(batch.column(1), model.dim)
+            x, cell = _unpack(batch.column(1), model.dim).astype(np.float64), batch.column(2).to_numpy()
             d = model.distances(x, True)
-            cell = d.argmin(axis=1)
             reach = model.reach(x, batch.column(0).to_numpy())[:, None]
             np.minimum.at(near, cell, d - reach)
             np.maximum.at(far, cell, d + reach)
@@ -105,15 +104,19 @@ def _gatherer(model: Pivots):
     return gather
 
 
-def _placer(model: Pivots, query: bool):
-    """Rows (id, v) to (id, cell, distance to its pivot, v packed)."""
+def _placer(model: Pivots):
+    """Rows (id, v, asks) to (id, asks, cell, distance to its pivot, v packed, q_cell): a vector's cell as
+    data, and as a query where it is one."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _vectors(batch.column(1), model.dim)
-            d = model.distances(x, query)
+            x, asks = _vectors(batch.column(1), model.dim), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            d = model.distances(x, False)
             cell = d.argmin(axis=1) if len(x) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(x)), cell]), _pack(x)], names=["id", "cell", "d", "v"])
+            q_cell = np.full(len(x), -1, np.int32)
+            if asks.any():
+                q_cell[asks] = model.distances(x[asks], True).argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(x)), cell]), _pack(x), pa.array(q_cell)], names=["id", "asks", "cell", "d", "v", "q_cell"])
 
     return place
 
@@ -183,6 +186,7 @@ def top_products(spark: SparkSession, vectors: DataFrame, is_query, k: int = TOP
 
     Vectors of unequal lengths score as if zeros followed the shorter. Rows of one id are
     one query, which a candidate meets once with each different vector, but separate candidates. No vectors or no queries: no rows."""
+    vectors, _ = written(spark, vectors.select("id", "v"), "vectors")
     shape = vectors.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)).alias("most")).first()
     if not shape["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -196,11 +200,13 @@ def top_products(spark: SparkSession, vectors: DataFrame, is_query, k: int = TOP
     model.points = np.unique(model.lift(sample, False), axis=0)
     model.points = model.points[np.random.default_rng(0).permutation(len(model.points))[:want]]
 
-    queries = vectors.where(is_query(F.col("id"))).dropDuplicates(["id", "v"])
+    # Each row is placed once, as data and as the query that it may be, and written with its vector packed.
+    asks = F.coalesce(is_query(F.col("id")), F.lit(False)).alias("asks")
+    data, _ = written(spark, vectors.select("id", "v", asks).mapInArrow(_placer(model), "id long, asks boolean, cell int, d double, v binary, q_cell int"), "placed")
+    queries, _ = written(spark, data.where("asks").select("id", "v", "q_cell").dropDuplicates(["id", "v"]), "queries")
     bounds = queries.mapInArrow(_gatherer(model), "cell int, pivot int, near double, far double, n long").groupBy("cell", "pivot").agg(F.min("near").alias("near"), F.max("far").alias("far"), F.sum("n").alias("n")).collect()
     if not bounds:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    data = vectors.mapInArrow(_placer(model, False), "id long, cell int, d double, v binary")
     cells = {r["cell"]: r for r in data.groupBy("cell").agg(F.count("*").alias("n"), F.min("d").alias("low"), F.max("d").alias("high")).collect()}
 
     counts = {r["cell"]: r["n"] for r in bounds}
@@ -221,8 +227,7 @@ def top_products(spark: SparkSession, vectors: DataFrame, is_query, k: int = TOP
     sent = data.join(routes, "cell").where("d >= low and d <= high").withColumn("d_part", F.pmod(F.xxhash64("id", "v"), F.col("d_parts")).cast("int"))
     sent = sent.withColumn("q_part", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1))).select("g", "q_part", "cell", "d_part", "id", "v")
     member = F.broadcast(spark.createDataFrame(sorted(of.items()), "q_cell int, g int"))  # at most MOST_PIVOTS rows
-    placed = queries.mapInArrow(_placer(model, True), "id long, cell int, d double, v binary").select("id", "v", F.col("cell").alias("q_cell"))
-    asked = placed.join(member, "q_cell").join(routes, "g").withColumn("q_part", F.pmod(F.xxhash64("id", "v"), F.col("q_parts")).cast("int"))
+    asked = queries.join(member, "q_cell").join(routes, "g").withColumn("q_part", F.pmod(F.xxhash64("id", "v"), F.col("q_parts")).cast("int"))
     asked = asked.withColumn("d_part", F.explode(F.sequence(F.lit(0), F.col("d_parts") - 1))).select("g", "q_part", "cell", "d_part", "id", "v")
     key = ["g", "q_part", "cell", "d_part"]
     best = asked.groupBy(*key).cogroup(sent.groupBy(*key)).applyInArrow(_solver(model), "query_id long, vec_id long, score long")
