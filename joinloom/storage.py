@@ -15,8 +15,17 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of the rows that a Python worker gets at a time, and Spark's own default. Rows with texts are large,
+#: and a worker holds a batch several times over.
+BATCH_BYTES, DEFAULT_BATCH_BYTES = "8m", "64m"
+
+
 def importable(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver found it, too."""
+    """Lets Python workers import this package from where the driver found it, too, and gives them batches
+    of BATCH_BYTES, unless the session says otherwise."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(setting, DEFAULT_BATCH_BYTES) in (DEFAULT_BATCH_BYTES, "67108864b"):
+        spark.conf.set(setting, BATCH_BYTES)
     env, here = spark.sparkContext.environment, str(Path(__file__).resolve().parents[1])
     if here not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), here]))
