@@ -86,7 +86,31 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "accepted")
 
 
-@query("op6_secret_scan")
+_KEYWORD = "|".join("".join(f"[{c.upper()}{c}]" for c in w) for w in ("password", "passwd", "secret", "token", "api", "key")).replace("|[Kk]", "_?[Kk]")
+_KINDS = {0: rf"({_KEYWORD})[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 1: "AKIA[A-Z0-9]+", 2: "[0-9a-f]{16,}"}
+_FOUND = " UNION ALL ".join(f"SELECT r, {k} AS kind, regexp_extract_all(t, '{p}') AS found, string_split_regex(t, '{p}') AS gaps FROM d" for k, p in _KINDS.items())
+_NAME = "['assign', 'access', 'hex', 'live'][kind + 1] || ':' || b || ':' || e"
+OP6_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+m AS (SELECT r, kind, found, gaps, unnest(range(1, len(found) + 1)) AS k FROM ({_FOUND})),
+-- a match begins after all gaps up to its own and all matches before it
+s AS (SELECT r, kind, found[k] AS whole, CASE kind WHEN 0 THEN regexp_extract(found[k], '{_KINDS[0]}', 2) ELSE found[k] END AS value,
+             CAST(list_sum(list_transform(gaps[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:k - 1], lambda x: length(x))), 0) AS BIGINT) AS b FROM m),
+base AS (SELECT *, b + length(whole) AS e, b + length(whole) - length(value) AS vb FROM s WHERE length(value) >= [12, 18, 16][kind + 1]),
+owned AS (SELECT value, count(*) AS owners, sum(n) AS repositories FROM (SELECT value, source, count(DISTINCT doc_id) AS n FROM base JOIN d USING (r) GROUP BY value, source) GROUP BY value),
+told AS (SELECT DISTINCT r, vb, e, owners, repositories FROM base JOIN owned USING (value)
+         WHERE list_aggregate(string_split(value, ''), 'entropy') >= {secrets.LEAST_BITS} AND NOT list_bool_or(list_transform({list(secrets.STAND_INS)}, lambda w: contains(lower(value), w)))),
+live AS (SELECT DISTINCT r, 3 AS kind, vb AS b, e FROM told WHERE owners < {secrets.SHARED_OWNERS} AND repositories < {secrets.SHARED_REPOSITORIES}),
+x AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, string_agg({_NAME}, ',' ORDER BY b, kind) AS said FROM base GROUP BY r),
+y AS (SELECT r, string_agg({_NAME}, ',' ORDER BY b, kind, e) AS spans, count(*) FILTER (kind = 3) AS n_live FROM (SELECT r, kind, b, e FROM base UNION ALL SELECT * FROM live) GROUP BY r),
+z AS (SELECT r, string_agg(vb || ':' || e || ':' || owners || ':' || repositories, ',' ORDER BY vb, e, owners, repositories) AS ownership FROM told GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(said, '')) AS base_sha256,
+       coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(ownership, '') AS ownership
+FROM d LEFT JOIN x USING (r) LEFT JOIN y USING (r) LEFT JOIN z USING (r)
+"""
+
+
+@query("op6_secret_scan", OP6_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(spark, table(spark, sf_dir, "documents"))
     live = F.transform("live", lambda s: F.struct(s["start"].alias("start"), F.lit(secrets.KINDS.index("live")).alias("kind"), s["end"].alias("end")))
