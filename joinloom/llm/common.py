@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from joinloom.storage import dropped, file_system, fresh_path, importable, scratch, shared_dir, written
 
-__all__ = ["LOWER_ASCII", "dropped", "file_system", "fresh_path", "importable", "pick", "place_of", "positional", "raw_texts", "scratch", "shared_dir", "sized", "table", "whole_groups", "written"]
+__all__ = ["LOWER_ASCII", "dropped", "each_text", "file_system", "fresh_path", "importable", "pick", "place_of", "positional", "raw_texts", "scratch", "shared_dir", "sized", "table", "whole_groups", "written"]
 
 UPPER = bytes(range(65, 91))
 LOWER_ASCII = bytes.maketrans(UPPER, UPPER.lower())
@@ -54,6 +54,12 @@ def raw_texts(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def each_text(column: pa.Array, rows: int = 256) -> Iterator[bytes | None]:
+    """The same one by one; so many of them are held as bytes at a time."""
+    for at in range(0, len(column), rows):
+        yield from raw_texts(column.slice(at, rows))
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, least: int = 100_000) -> Iterator[pa.Table]:
     """Tables of whole groups, from rows sorted by the first columns, which are the key. What is
     held is at most least rows, one batch and one group."""

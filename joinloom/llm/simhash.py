@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joinloom.llm.common import LOWER_ASCII, pick, raw_texts, whole_groups, written
+from joinloom.llm.common import LOWER_ASCII, pick, place_of, positional, raw_texts, sized, whole_groups, written
 from joinloom.llm.components import star_components
 
 SHINGLE = 3
@@ -60,16 +60,19 @@ def _print_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(prints.view(np.int64))], names=[*batch.schema.names[1:], "fp"])
 
 
-def close_pairs(prints: np.ndarray, group: np.ndarray, radius: int = RADIUS, slab: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions (i, j), i < j, of fingerprints of one group that differ in at most radius bits.
-    group: sorted keys. They come in pieces of at most 64 * slab pairs, or 64 of a row's words.
+def close_pairs(prints: np.ndarray, group: np.ndarray, radius: int = RADIUS, slab: int = 1 << 14, heap: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j), i < j, of fingerprints of one group that differ in at most radius bits. prints:
+    64-bit words, one for each fingerprint, or a row of them. group: sorted keys. They come in pieces
+    of at most 64 * slab pairs, or 64 of a row's words. heap: keys, sorted within each group, of rows
+    that are known to belong together; words that hold but the row's own heap are passed over.
 
-    Each group fills words of 64 lanes, and 64 planes hold one bit of every lane each. A row meets a
-    word of its group at a time: plane by plane its bit is compared with 64 lanes at once, and the
-    differences go into carry-save counters, one bit of the count to a word. The counters start at
+    Each group fills words of 64 lanes, and a plane for each bit holds that bit of every lane. A row
+    meets a word of its group at a time: plane by plane its bit is compared with 64 lanes at once, and
+    the differences go into carry-save counters, one bit of the count to a word. The counters start at
     2**k - 1 - radius, so that a carry out of the top says "further than the radius". Every eight
     planes, (row, word) blocks whose lanes have all gone over are abandoned."""
     n = len(prints)
+    whole = prints[:, None] if prints.ndim == 1 else prints
     first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if n else np.zeros(0, np.int64)
     sizes = np.diff(np.r_[first, n])
     lane = np.arange(n) - np.repeat(first, sizes)
@@ -77,9 +80,10 @@ def close_pairs(prints: np.ndarray, group: np.ndarray, radius: int = RADIUS, sla
     base = np.cumsum(words) - words
     word = np.repeat(base, sizes) + lane // 64
     opens = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if n else first
+    closes = np.r_[opens[1:], n] - 1
     shift = (lane % 64).astype(np.uint64)
-    planes = [np.bitwise_or.reduceat(((prints >> np.uint64(b)) & ONE) << shift, opens) if n else prints for b in range(64)]
-    filled = np.bitwise_or.reduceat(ONE << shift, opens) if n else prints
+    planes = [np.bitwise_or.reduceat(((whole[:, k] >> np.uint64(b)) & ONE) << shift, opens) if n else whole[:, k] for k in range(whole.shape[1]) for b in range(64)]
+    filled = np.bitwise_or.reduceat(ONE << shift, opens) if n else shift
     ahead = np.repeat(base + words, sizes) - word  # words from the row's own to its group's last
     bits = max(1, int(radius).bit_length())
     start = 2**bits - 1 - radius
@@ -89,12 +93,17 @@ def close_pairs(prints: np.ndarray, group: np.ndarray, radius: int = RADIUS, sla
         upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + slab, "right")))
         row = np.repeat(np.arange(at, upto), ahead[at:upto])
         met = word[row] + np.arange(len(row)) - np.repeat(np.cumsum(ahead[at:upto]) - ahead[at:upto], ahead[at:upto])
+        if heap is not None:
+            apart = (heap[row] != heap[opens[met]]) | (heap[row] != heap[closes[met]])
+            row, met = row[apart], met[apart]
         later = np.where(met == word[row], ~((ONE << shift[row]) | ((ONE << shift[row]) - ONE)), ALL)
         over = ~(filled[met] & later)
         count = [np.full(len(row), ALL if start >> k & 1 else 0, np.uint64) for k in range(bits)]
-        mine = prints[row]
-        for b in range(64):
-            carry = planes[b][met] ^ (np.uint64(0) - ((mine >> np.uint64(b)) & ONE))
+        mine = None
+        for b, plane in enumerate(planes):
+            if b % 64 == 0:
+                mine = whole[row, b // 64]
+            carry = plane[met] ^ (np.uint64(0) - ((mine >> np.uint64(b % 64)) & ONE))
             for k in range(bits):
                 count[k], carry = count[k] ^ carry, count[k] & carry
             over |= carry
@@ -160,39 +169,55 @@ def links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
     return sorted_.mapInArrow(_link_batches, "a long, b long")
 
 
-def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
-    """documents(doc_id, text, ...) to (doc_id, fp long, root long, component_id, text_hash long), a row
-    for each row. root: the least fingerprint (as a signed long) of the component; component_id: the
-    smallest doc_id in it. text_hash tells rows of one doc_id apart.
+def near_duplicates(spark: SparkSession, documents: DataFrame, mark: str | None = None) -> DataFrame:
+    """documents(doc_id, text, ...) to (doc_id, fp long, root long, component_id, mark long), a row for each
+    row. root: the least fingerprint (as a signed long) of the component; component_id: the smallest
+    doc_id in it. mark: of the column named so, by default a hash of the text; it tells rows of one
+    doc_id apart.
 
     Null and empty texts, and texts without words, have fingerprint zero and link to each other as
     any others do. Rows of one doc_id are separate rows of one id. A null doc_id counts only where its
     component has no other id: component_id is null there. No rows: no rows. Other columns are
     ignored, whatever their names."""
-    docs = pick(documents, "text", "doc_id").select("text", "doc_id", F.xxhash64("text").alias("text_hash"))
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, fp long"
+    docs = pick(documents, "text", "doc_id", *([mark] if mark else [])).toDF("text", "doc_id", *(["mark"] if mark else []))
+    docs = docs.select("text", "doc_id", (F.col("mark") if mark else F.xxhash64("text")).cast("long").alias("mark"))
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark long, fp long"
     rows, _ = written(spark, docs.mapInArrow(_print_batches, schema), "simhash")
     prints, _ = written(spark, rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints", rows.count())
     found = star_components(spark, links(prints.select("fp")), 6 * prints.count()).select(F.col("node").alias("fp"), "root")
     rooted = prints.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     member = rooted.select("fp", "root").join(least, "root")
-    return rows.join(member, "fp").select("doc_id", "fp", "root", "component_id", "text_hash")
+    return rows.join(member, "fp").select("doc_id", "fp", "root", "component_id", "mark")
+
 
+def one_of_each(spark: SparkSession, documents: DataFrame, groups: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
+    """The documents, whole and with their columns as they were, of which one of each group of
+    near-duplicates stays: that with the smallest doc_id, a null one last; of rows with equal doc_id in
+    a group that with the least hash of all its columns, and of wholly equal rows one. groups: what finds the
+    groups, with the columns of near_duplicates, which says what null, empty and long texts are. No
+    rows: no rows. The first column of a name counts, in any case.
 
-def one_of_each(spark: SparkSession, documents: DataFrame, groups: Callable[[SparkSession, DataFrame], DataFrame] = near_duplicates) -> DataFrame:
-    """The documents, whole, of which one of each group of near-duplicates stays: that with the
-    smallest doc_id. groups: what finds the groups, with the columns of near_duplicates. Of rows with equal doc_id in a group that with the least text hash stays, and of
-    wholly equal rows any one. Column names that clash come back as they were."""
-    found, _ = written(spark, groups(spark, documents), "groups")
-    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")).alias("best"))
-    stays = best.select(F.col("best.doc_id").alias("_k"), F.col("best.text_hash").alias("_h"))
+    Only ids and hashes are shuffled. The texts are passed by the rows that go, as a broadcast while
+    these are few enough for one, and else by a join."""
     names = list(documents.columns)
-    at = {n: f"_{names.index(n)}" for n in ("doc_id", "text")}
-    flat = documents.toDF(*[f"_{i}" for i in range(len(names))])
-    hashed = F.xxhash64(at["text"])
-    kept = flat.join(stays, flat[at["doc_id"]].eqNullSafe(stays["_k"]) & (hashed == stays["_h"]), "left_semi")
-    repeated = found.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
-    if repeated:  # wholly equal rows, which the keys can't tell apart
-        kept = kept.withColumn("_h", hashed).dropDuplicates([at["doc_id"], "_h"]).drop("_h")
-    return kept.toDF(*names)
+    flat = positional(documents)
+    doc_id, text = (f"_{place_of(documents, n)}" for n in ("doc_id", "text"))
+    own = [F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in flat.schema]
+    marked = flat.withColumn("_mark", F.xxhash64(*own))
+    found = groups(spark, marked.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col("_mark").alias("mark")), "mark")
+    each, _ = written(spark, found.groupBy("root", "doc_id", "mark").agg(F.count("*").alias("n")), "groups")
+    best = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "n")).alias("best"), F.count("*").alias("many"))
+    best, _ = written(spark, best.where("many > 1 or best.n > 1"), "best")
+    other = ~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("mark") == F.col("best.mark")))
+    gone, _ = written(spark, each.join(best.where("many > 1").select("root", "best"), "root").where(other).select(F.col("doc_id").alias("_k"), F.col("mark").alias("_h")), "gone")
+    again, _ = written(spark, best.where("best.n > 1").select(F.col("best.doc_id").alias("_k"), F.col("best.mark").alias("_h")), "again")
+
+    def those(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = sized(keys, keys.count())
+        return rows.join(keys, rows[doc_id].eqNullSafe(keys["_k"]) & (rows["_mark"] == keys["_h"]), how)
+
+    kept = those(marked, gone, "left_anti")
+    if again.limit(1).count():  # wholly equal rows
+        kept = those(kept, again, "left_anti").unionByName(those(kept, again, "left_semi").dropDuplicates([doc_id, "_mark"]))
+    return kept.drop("_mark").toDF(*names)

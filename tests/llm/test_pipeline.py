@@ -1,9 +1,17 @@
+import os
+from pathlib import Path
+
 import pytest
+import test_decontaminate
+import test_mixing
+import test_secrets
+import test_similar
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from joinloom.llm import decontaminate, langid, mixing, queries, secrets, simhash
-from joinloom.llm.common import written
+from joinloom.llm import langid, queries
+from joinloom.llm.common import shared_dir, written
 
 ORDER = ["language_id", "simhash_near_dedup", "decontamination", "secret_scan", "mixing"]
 
@@ -12,47 +20,72 @@ def docs_of(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet")
 
 
-def test_stages_work_on_what_is_kept(spark, data):
-    """Each stage against the operator's own findings on the same rows."""
-    assert [n for n, _ in corpus_pipeline.STAGES] == ORDER
-    docs = docs_of(spark, data)
-    columns, stages = docs.columns, dict(corpus_pipeline.STAGES)
+def kept_languages(spark, rows, model):
+    best, _, fits = langid.decide(model, [r.text for r in rows])
+    return [r for r, k, fit in zip(rows, best, fits, strict=True) if k >= 0 and fit]
 
-    kept, _ = written(spark, stages["language_id"](spark, docs, data), "t")
-    model = langid.learn(langid.learned_rows(docs))
-    assert kept.columns == columns
-    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in langid.predict(spark, docs, model).collect() if r.accepted}
 
-    docs, before = kept, kept
-    kept, _ = written(spark, stages["simhash_near_dedup"](spark, docs, data), "t")
-    groups = simhash.near_duplicates(spark, before).collect()
-    assert kept.columns == columns and sorted(r.doc_id for r in kept.collect()) == sorted({r.component_id for r in groups})
+def one_of_each(rows):
+    """By all pairs' sets of shingles."""
+    found = dict(test_similar.brute_components([(r.doc_id, r.text) for r in rows]))
+    return [r for r in rows if found[r.doc_id] == r.doc_id]
 
-    docs = kept
-    kept, _ = written(spark, stages["decontamination"](spark, docs, data), "t")
-    found = decontaminate.find(spark, docs, spark.read.parquet(f"{data}/benchmark.parquet")).collect()
-    assert kept.columns == columns and sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in found if not r.runs)
 
-    docs = kept
-    kept, _ = written(spark, stages["secret_scan"](spark, docs, data), "t")
-    found = {r.doc_id: r.live for r in secrets.scan(spark, docs).collect()}
-    assert kept.columns == columns and kept.count() == docs.count()
-    old = {r.doc_id: r.text for r in docs.collect()}
-    assert {r.doc_id for r in kept.collect() if r.text != old[r.doc_id]} == {d for d, live in found.items() if live}
+def without_benchmark(rows, items):
+    """No run of ten words or more of windows of ten words."""
+    windows = {tuple(w[k : k + 10]) for w in map(test_decontaminate.words, items) for k in range(max(1, len(w) - 9) if w else 0)}
+    lengths, out = {len(w) for w in windows}, []
+    for r in rows:
+        w = test_decontaminate.words(r.text)
+        hit = "".join("x" if any(tuple(w[k : k + n]) in windows for n in lengths for k in range(max(0, i - n + 1), i + 1) if len(w) - k >= n) else " " for i in range(len(w)))
+        if all(len(run) < 10 for run in hit.split()):
+            out.append(r)
+    return out
 
-    docs = kept
-    got = stages["mixing"](spark, docs, data)
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, mixing.mixed(spark, docs).collect()))
 
+def without_secrets(rows):
+    """Live values by test_secrets' sets of owners and repositories, masked from the last to the first."""
+    by, out = {r.doc_id: r.text for r in rows}, {}
+    for d, spans, _, _ in test_secrets.brute_spans([(r.doc_id, r.text, r.source) for r in rows]):
+        text = by[d]
+        for a, b in sorted({tuple(map(int, x.split(":")[1:])) for x in spans.split(",") if x.startswith("live")}, reverse=True):
+            text = f"{text[:a]}[SECRET]{text[b:]}"
+        out[d] = text
+    return [Row(**(r.asDict() | {"text": out[r.doc_id]})) for r in rows]
 
-def test_run_is_the_stages_in_order(spark, data):
-    docs = docs_of(spark, data)
-    for name, stage in corpus_pipeline.STAGES:
-        docs, _ = written(spark, stage(spark, docs, data), name)
-    assert sorted(map(tuple, corpus_pipeline.run(spark, data).collect())) == sorted(map(tuple, docs.collect()))
+
+def test_run_against_brute_force(spark, data):
+    """The stages one by one and as a whole, each by other means on what the one before left."""
+    assert [n for n, _ in corpus_pipeline.STAGES] == ORDER
+    docs, items = docs_of(spark, data), [r.text for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    columns, stages, rows = docs.columns, dict(corpus_pipeline.STAGES), docs.collect()
+    model = langid.learn(langid.learned_rows(docs))
+    by = {"language_id": lambda r: kept_languages(spark, r, model), "simhash_near_dedup": one_of_each, "decontamination": lambda r: without_benchmark(r, items), "secret_scan": without_secrets}
+    for name, brute in by.items():
+        kept, _ = written(spark, stages[name](spark, docs, data), "t")
+        before, rows, docs = rows, brute(rows), kept
+        got = kept.collect()
+        assert kept.columns == columns and sorted((r.doc_id, r.text, r.lang, r.source) for r in got) == sorted((r.doc_id, r.text, r.lang, r.source) for r in rows), name
+        assert len(rows) > 100 and (rows != before or name == "language_id"), name
+    want, _ = test_mixing.brute_queue([(r.doc_id, r.text, r.source) for r in rows])
+    got = corpus_pipeline.run(spark, data)
+    assert sorted((r.doc_id, r.taken) for r in got.collect()) == sorted((r.doc_id, k) for r, k in zip(rows, want, strict=True))
     assert corpus_pipeline.ORACLE_SQL is None
 
 
+def test_a_corpus_without_labels_passes_language_id(spark, data):
+    docs = docs_of(spark, data).withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(map(tuple, corpus_pipeline.language_id(spark, docs, data).collect()), key=repr) == sorted(map(tuple, docs.collect()), key=repr)
+
+
+def test_run_leaves_its_result_alone(spark, data):
+    """Of the tables written on the way none stays."""
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(os.listdir(folder))
+    got = corpus_pipeline.run(spark, data)
+    assert got.count() and len(set(os.listdir(folder)) - before) == 1
+
+
 @pytest.mark.parametrize("rows", [0, 40])
 def test_odd_tables(spark, data, tmp_path, rows):
     """No rows; nulls in every column, repeated rows and more columns."""

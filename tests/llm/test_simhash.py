@@ -3,7 +3,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from joinloom.llm import simhash
+from joinloom.llm import common, simhash
 from joinloom.llm.components import star_components
 
 SCHEMA = "doc_id long, text string"
@@ -73,8 +73,38 @@ def test_close_pairs_in_groups_of_all_sizes():
                 assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_close_pairs_of_wide_fingerprints():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, (20, 2), dtype=np.uint64)
+    prints = base[rng.integers(0, 20, 300)]
+    for _ in range(25):
+        at, bit = rng.integers(0, 128, 300), np.uint64(1)
+        prints[np.arange(300), at // 64] ^= bit << (at % 64).astype(np.uint64) * (rng.random(300) < 0.8)
+    group = np.sort(rng.integers(0, 3, 300))
+    for radius in (0, 7, 26, 32, 63):
+        far = np.bitwise_count(prints[:, None] ^ prints[None, :]).sum(axis=2)
+        want = set(zip(*(x.tolist() for x in np.nonzero(np.triu((far <= radius) & (group[:, None] == group[None, :]), 1))), strict=True))
+        got = [(a, b) for x, y in simhash.close_pairs(prints, group, radius, 64) for a, b in zip(x.tolist(), y.tolist(), strict=True)]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_heaps_are_passed_over():
+    """Pairs of different heaps are found, and of one heap none from words of it alone."""
+    rng = np.random.default_rng(9)
+    prints = rng.integers(0, 4, (700, 2), dtype=np.uint64)
+    group = np.sort(rng.integers(0, 2, 700))
+    heap = np.concatenate([np.sort(rng.integers(0, 3, np.count_nonzero(group == g))) + 10 * g for g in (0, 1)])
+    far = np.bitwise_count(prints[:, None] ^ prints[None, :]).sum(axis=2)
+    near = np.triu((far <= 1) & (group[:, None] == group[None, :]), 1)
+    want = set(zip(*(x.tolist() for x in np.nonzero(near & (heap[:, None] != heap[None, :]))), strict=True))
+    every = set(zip(*(x.tolist() for x in np.nonzero(near)), strict=True))
+    got = {(a, b) for x, y in simhash.close_pairs(prints, group, 1, heap=heap) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
+    assert want <= got < every
+
+
 def test_no_prints():
     assert not list(simhash.close_pairs(np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    assert not list(simhash.close_pairs(np.zeros((0, 2), np.uint64), np.zeros(0, np.int64)))
 
 
 def test_table_against_brute_force(spark, data):
@@ -127,3 +157,21 @@ def test_one_of_each_keeps_columns_and_one_row_a_group(spark):
     got = simhash.one_of_each(spark, both)
     assert got.columns == both.columns
     assert sorted(r[0] for r in got.collect()) == [1, 2, 9]
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_one_of_each_of_rows_that_are_equal_in_part(spark, monkeypatch, most):
+    """Rows of one doc_id and text, of which one stays whatever its other columns; broadcast and not."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+    rows = [(1, "a text of some words", "a", {"k": 1}), (1, "a text of some words", "b", {"k": 1}), (1, "a text of some words", "a", {"k": 1}), (None, "x y z", "a", None), (None, "x y z", "a", None), (None, "x y z", "c", {}), (4, "unlike all of the rest", None, None), (4, "of another kind altogether", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, TEXT string, source string, tags map<string, int>")
+    got = simhash.one_of_each(spark, df).collect()
+    assert sorted((r.doc_id or 0, r.TEXT) for r in got) == [(0, "x y z"), (1, "a text of some words"), (4, "of another kind altogether"), (4, "unlike all of the rest")]
+    again = simhash.one_of_each(spark, df.repartition(5)).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, again))
+
+
+def test_texts_are_not_shuffled(spark):
+    df = spark.createDataFrame([(1, "a b c", "x"), (2, "a b c", "y"), (3, "q r s t", "z")], "doc_id long, text string, source string")
+    plan = simhash.one_of_each(spark, df)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
