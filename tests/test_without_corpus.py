@@ -20,6 +20,7 @@ def test_entry_imports_without_them(tmp_path):
     assert n > 50 and oracles > 50
 
 
+@pytest.mark.skipif(not (ROOT / "corpus_pipeline.py").exists(), reason="they are left out")
 @pytest.mark.parametrize("module", ["ahocorasick", "tiktoken", "xxhash"])
 def test_entry_imports_without_what_they_alone_need(module):
     code = f"import sys; sys.modules['{module}'] = None; import __spark_entry__ as e; q = e.queries(); assert 'q7_shape' in q and 'pipeline' not in q and set(e.oracle_sql()) <= set(q); print(len(q))"
