@@ -27,7 +27,7 @@ SHARED, UNION = 4, 5
 BITS, RADIUS = 128, 32
 #: Fingerprints that a bucket holds on average, and the share of the texts that are just similar enough
 #: that meet in a bucket of one table or another. Nearer ones do more often.
-BUCKET, RECALL = 512, 0.98
+BUCKET, RECALL = 1024, 0.995
 #: Fingerprints of a bucket, and shingles of a cluster, that are compared in one task; larger ones are cut
 #: into blocks, and each pair of blocks is a task.
 BLOCK, SHINGLES = 4096, 1_000_000
