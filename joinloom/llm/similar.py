@@ -33,8 +33,9 @@ BUCKET, RECALL = 1024, 0.995
 BLOCK, SHINGLES = 4096, 1_000_000
 #: Words whose hashes a task holds at most.
 HELD = 200_000
-#: Bits that texts are looked up in where those that are looked for are too many to be broadcast.
-MARKS = 1 << 23
+#: Bits that texts are looked up in where those that are looked for are too many to be broadcast: so many for
+#: each, within these limits.
+MARKS, LEAST_MARKS, MOST_MARKS = 16, 1 << 23, 1 << 29
 ODD = [np.uint64(int(0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64 | 1) for k in range(SHINGLE)]
 
 
@@ -79,13 +80,16 @@ def key_of(own: np.ndarray) -> int:
 
 
 def fingerprint(own: np.ndarray) -> np.ndarray:
-    """The SimHash of a set of shingles, as 64-bit words: bits that over half of the hashes have."""
+    """The SimHash of a set of shingles, as 64-bit words: bits that over half of the hashes have, and of those
+    that half have the ones that the least has, so that fingerprints of few shingles have as many ones as
+    others. No shingles: zero."""
     words = np.column_stack([_mixed(own + ODD[k]) for k in range(BITS // 64)])
     counts = np.zeros(BITS, np.int64)
+    tie = np.unpackbits(words[:1].view(np.uint8), bitorder="little").astype(np.int64) if len(own) else counts
     for at in range(0, len(own), 1 << 16):
         part = np.ascontiguousarray(words[at : at + (1 << 16)])
         counts += np.add.reduce(np.unpackbits(part.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.int32)
-    return np.packbits(2 * counts > len(own), bitorder="little").view(np.uint64)
+    return np.packbits(2 * counts + tie > len(own), bitorder="little").view(np.uint64)
 
 
 def tables(n: int) -> list[np.ndarray]:
@@ -234,17 +238,18 @@ def _marked_batches(bits: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], It
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(1).to_numpy() % MARKS
+            at = batch.column(1).to_numpy() % (8 * len(bits))
             yield batch.filter(pa.array(bits[at >> 3] >> (at & 7) & 1 != 0))
 
     return run
 
 
-def _marks(hashes: DataFrame) -> np.ndarray:
-    """MARKS bits, of which those of the hashes are set."""
-    at = F.pmod(F.col("text_hash"), F.lit(MARKS)) + 1  # the functions count from one
+def _marks(hashes: DataFrame, n: int) -> np.ndarray:
+    """Bits, of which those of n hashes are set."""
+    marks = min(MOST_MARKS, max(LEAST_MARKS, 1 << (MARKS * n).bit_length()))
+    at = F.pmod(F.col("text_hash"), F.lit(marks)) + 1  # the functions count from one
     rows = hashes.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    out = np.zeros(MARKS // 8, np.uint8)
+    out = np.zeros(marks // 8, np.uint8)
     for r in rows.collect():
         own = np.frombuffer(r["bits"], np.uint8)
         out[(r["bucket"] - 1) * len(own) : r["bucket"] * len(own)] = own
@@ -285,7 +290,7 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, mark: str | None
     chosen, _ = written(spark, chosen, "chosen")
     texts = docs.select("text", "text_hash")
     if n > common.BROADCAST_ROWS:
-        texts = texts.mapInArrow(_marked_batches(_marks(chosen)), texts.schema)
+        texts = texts.mapInArrow(_marked_batches(_marks(chosen, n)), texts.schema)
     texts = texts.join(sized(chosen.select("key", "text_hash"), n), "text_hash").groupBy("key").agg(F.first("text").alias("text"))
     blocks = chosen.groupBy("cluster").agg(F.ceil(F.sum("n") / weight).alias("blocks")).where("blocks > 1")
     placed = _tiles(spark, chosen.select("cluster", "key"), "cluster", blocks)

@@ -97,6 +97,15 @@ def test_local_links_are_a_forest_of_all_links():
     assert (similar.forest(len(sets), iter([(a, b)])) == want).all() and len(a) == len(sets) - len(set(want))
 
 
+def test_fingerprints_of_few_shingles_are_as_far_apart_as_others():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 4, 6, 50):
+        prints = np.array([similar.fingerprint(np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))) for _ in range(300)])
+        far = np.bitwise_count(prints[:, None] ^ prints[None, :]).sum(axis=2)[np.triu_indices(300, 1)]
+        assert abs(far.mean() - similar.BITS / 2) < 1 and (far <= similar.RADIUS).sum() == 0
+    assert similar.fingerprint(np.zeros(0, np.uint64)).tolist() == [0, 0]
+
+
 def test_shingle_sets():
     for text in ("", "one", "a b c d", "a b c d e", "a b a b a b a b a b", "x " * 1000, "A b\tC  d\ne f"):
         words = text.lower().split()
