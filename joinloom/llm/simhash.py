@@ -208,10 +208,11 @@ def one_of_each(spark: SparkSession, documents: DataFrame, groups: Callable[...,
     found = groups(spark, marked.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col("_mark").alias("mark")), "mark")
     each, _ = written(spark, found.groupBy("root", "doc_id", "mark").agg(F.count("*").alias("n")), "groups")
     best = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "n")).alias("best"), F.count("*").alias("many"))
-    best, _ = written(spark, best.where("many > 1 or best.n > 1"), "best")
+    most = each.count()
+    best, _ = written(spark, best.where("many > 1 or best.n > 1"), "best", most)
     other = ~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("mark") == F.col("best.mark")))
-    gone, _ = written(spark, each.join(best.where("many > 1").select("root", "best"), "root").where(other).select(F.col("doc_id").alias("_k"), F.col("mark").alias("_h")), "gone")
-    again, _ = written(spark, best.where("best.n > 1").select(F.col("best.doc_id").alias("_k"), F.col("best.mark").alias("_h")), "again")
+    gone, _ = written(spark, each.join(best.where("many > 1").select("root", "best"), "root").where(other).select(F.col("doc_id").alias("_k"), F.col("mark").alias("_h")), "gone", most)
+    again, _ = written(spark, best.where("best.n > 1").select(F.col("best.doc_id").alias("_k"), F.col("best.mark").alias("_h")), "again", most)
 
     def those(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
         keys = sized(keys, keys.count())

@@ -140,10 +140,11 @@ def _bucket_batches(positions: list[np.ndarray]) -> Callable[[Iterator[pa.Record
     return run
 
 
-def _tiles(spark: SparkSession, rows: DataFrame, by: str, blocks: DataFrame) -> DataFrame:
+def _tiles(spark: SparkSession, rows: DataFrame, by: str, blocks: DataFrame, most: int) -> DataFrame:
     """rows(by, key, ...) by (by, tile), sorted. Two rows of a group meet in a tile. blocks(by, blocks): the
-    groups that are cut into more than one block; each pair of blocks is a tile."""
-    blocks, _ = written(spark, blocks, "blocks")
+    groups that are cut into more than one block, of which there are `most` at most; each pair of blocks
+    is a tile."""
+    blocks, _ = written(spark, blocks, "blocks", most)
     many, columns = blocks.count(), rows.columns
     if many:
         rows = rows.join(sized(blocks, many), by, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)).cast("int"))
@@ -279,23 +280,24 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, mark: str | None
     rows, _ = written(spark, docs.mapInArrow(_print_batches, schema), "prints")
     nodes, _ = written(spark, rows.groupBy("key").agg(*[F.first(f).alias(f) for f in FP]), "nodes", rows.count())
 
-    positions = tables(nodes.count())
+    different = nodes.count()
+    positions = tables(different)
     dealt = nodes.mapInArrow(_bucket_batches(positions), "bucket long, key long, " + ", ".join(f"{f} long" for f in FP))
     blocks = dealt.groupBy("bucket").agg(F.ceil(F.count("*") / block).alias("blocks")).where("blocks > 1")
-    close = _met(_tiles(spark, dealt, "bucket", blocks), "bucket").mapInArrow(_forest_batches, "a long, b long").distinct()
-    clusters, _ = written(spark, star_components(spark, close).select(F.col("root").alias("cluster"), F.col("node").alias("key")), "clusters")
+    close = _met(_tiles(spark, dealt, "bucket", blocks, different * len(positions) // block), "bucket").mapInArrow(_forest_batches, "a long, b long").distinct()
+    clusters, _ = written(spark, star_components(spark, close).select(F.col("root").alias("cluster"), F.col("node").alias("key")), "clusters", different)
 
     n = clusters.count()
     chosen = rows.join(sized(clusters, n), "key").groupBy("cluster", "key").agg(F.min("text_hash").alias("text_hash"), F.first("n").alias("n"))
-    chosen, _ = written(spark, chosen, "chosen")
+    chosen, _ = written(spark, chosen, "chosen", n)
     texts = docs.select("text", "text_hash")
     if n > common.BROADCAST_ROWS:
         texts = texts.mapInArrow(_marked_batches(_marks(chosen, n)), texts.schema)
     texts = texts.join(sized(chosen.select("key", "text_hash"), n), "text_hash").groupBy("key").agg(F.first("text").alias("text"))
     blocks = chosen.groupBy("cluster").agg(F.ceil(F.sum("n") / weight).alias("blocks")).where("blocks > 1")
-    placed = _tiles(spark, chosen.select("cluster", "key"), "cluster", blocks)
+    placed = _tiles(spark, chosen.select("cluster", "key"), "cluster", blocks, n)
     links = _met(placed.join(texts, "key").select("cluster", "tile", "key", "text"), "cluster").mapInArrow(_link_batches, "a long, b long").distinct()
-    roots, _ = written(spark, star_components(spark, links).select(F.col("node").alias("key"), "root"), "roots")
+    roots, _ = written(spark, star_components(spark, links).select(F.col("node").alias("key"), "root"), "roots", n)
 
     least = rows.groupBy("key").agg(F.min("doc_id").alias("first")).join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     ids = least.groupBy("root").agg(F.min("first").alias("component_id"))
