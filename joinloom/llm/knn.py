@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from joinloom.llm.common import pick, written
@@ -186,8 +186,10 @@ def top_products(spark: SparkSession, vectors: DataFrame, is_query, k: int = TOP
 
     Vectors of unequal lengths score as if zeros followed the shorter. Rows of one id are
     one query, which a candidate meets once with each different vector, but separate candidates. No vectors or no queries: no rows."""
-    vectors, _ = written(spark, vectors.select("id", "v"), "vectors")
-    shape = vectors.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)).alias("most")).first()
+    seen = Observation()
+    longest = F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    vectors, _ = written(spark, vectors.select("id", "v").observe(seen, F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim"), longest.alias("most")), "vectors")
+    shape = seen.get
     if not shape["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     dim, most = shape["dim"], float(shape["most"] or 0)
@@ -200,9 +202,10 @@ def top_products(spark: SparkSession, vectors: DataFrame, is_query, k: int = TOP
     model.points = np.unique(model.lift(sample, False), axis=0)
     model.points = model.points[np.random.default_rng(0).permutation(len(model.points))[:want]]
 
-    # Each row is placed once, as data and as the query that it may be, and written with its vector packed.
+    # Each row is placed once, as data and as the query that it may be, and written with its vector packed,
+    # queries apart.
     asks = F.coalesce(is_query(F.col("id")), F.lit(False)).alias("asks")
-    data, _ = written(spark, vectors.select("id", "v", asks).mapInArrow(_placer(model), "id long, asks boolean, cell int, d double, v binary, q_cell int"), "placed")
+    data, _ = written(spark, vectors.select("id", "v", asks).mapInArrow(_placer(model), "id long, asks boolean, cell int, d double, v binary, q_cell int"), "placed", by="asks")
     queries, _ = written(spark, data.where("asks").select("id", "v", "q_cell").dropDuplicates(["id", "v"]), "queries")
     bounds = queries.mapInArrow(_gatherer(model), "cell int, pivot int, near double, far double, n long").groupBy("cell", "pivot").agg(F.min("near").alias("near"), F.max("far").alias("far"), F.sum("n").alias("n")).collect()
     if not bounds:
